@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dnstide.llm import oracle
 from dnstide.llm.decontaminate import contamination
+from dnstide.llm.langid import held_out, identify, train
 from dnstide.llm.line_dedup import line_dedup
 from dnstide.llm.packing import pack
 from dnstide.llm.shared import table
@@ -23,6 +24,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    model = train(docs.where(~out & F.col("doc_id").isNotNull()).select("text", "lang"))
+    found = identify(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,7 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op8_line_dedup, op9_url_filter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
 
 ORACLES = {
     "op1_decontaminate": oracle.CONTAMINATION,
