@@ -63,3 +63,51 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+def secret_scan_sql(rules, base: int) -> str:
+    """Every rule on every text: starts from the lengths of matches and of the gaps between them."""
+
+    def one(i: int, r) -> str:
+        p = r.pattern.replace("'", "''")
+        return f"""SELECT doc_id, {i} AS rule, m, x, unnest(range(1, len(m) + 1)) AS k, g FROM (
+  SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS x, regexp_split_to_array(text, '{p}') AS g
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
+
+    kinds = ", ".join(f"({i}, '{r.kind}', {r.least})" for i, r in enumerate(rules))
+    counts = ", ".join(f"count(*) FILTER (WHERE rule = {i}) AS n_{rules[i].kind}" for i in range(base))
+    return f"""
+WITH kinds(rule, kind, least) AS (VALUES {kinds}),
+matches AS ({" UNION ALL ".join(one(i, r) for i, r in enumerate(rules))}),
+placed AS (
+  SELECT doc_id, rule, length(m[k]) AS size, length(x[k]) AS own,
+         sum(length(g[k])) OVER w + coalesce(sum(length(m[k])) OVER (PARTITION BY doc_id, rule ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM matches WINDOW w AS (PARTITION BY doc_id, rule ORDER BY k)
+),
+spans AS (
+  SELECT doc_id, rule, start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM placed JOIN kinds USING (rule) WHERE own >= least
+),
+summed AS (
+  SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, rule) FILTER (WHERE rule < {base}) AS base, string_agg(span, ',' ORDER BY start, rule) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{rules[i].kind}, 0) AS n_{rules[i].kind}" for i in range(base))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN summed USING (doc_id)
+"""
+
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+),
+usable AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach(a, b) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
+FROM vectors JOIN reach ON a = vec_id GROUP BY vec_id
+"""

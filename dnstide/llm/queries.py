@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from dnstide.llm import oracle
 from dnstide.llm.decontaminate import contamination
+from dnstide.llm.embedding_dedup import embedding_dedup
 from dnstide.llm.langid import held_out, identify, train
 from dnstide.llm.line_dedup import line_dedup
 from dnstide.llm.packing import pack
+from dnstide.llm.secrets import BASE, RULES, scan, spelled
 from dnstide.llm.shared import table
 from dnstide.llm.simhash import hex16, simhash_components
 from dnstide.llm.url_filter import SOFT, SOFT_LIMIT, STRICT, url_filter
@@ -24,6 +26,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rule"] < BASE)
+    count = lambda i: F.size(F.filter("spans", lambda x: x["rule"] == i)).cast("bigint")
+    return found.select("doc_id", *(count(i).alias(f"n_{RULES[i].kind}") for i in range(BASE)), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"))
@@ -46,10 +59,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op5_secret_scan, op6_embedding_dedup, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
 
 ORACLES = {
     "op1_decontaminate": oracle.CONTAMINATION,
+    "op5_secret_scan": oracle.secret_scan_sql(RULES, BASE),
+    "op6_embedding_dedup": oracle.EMBEDDING_DEDUP,
     "op8_line_dedup": oracle.LINE_DEDUP,
     "op9_url_filter": oracle.url_filter_sql(STRICT, SOFT, SOFT_LIMIT),
 }
