@@ -12,6 +12,7 @@ from dnstide.llm.embedding_dedup import embedding_dedup
 from dnstide.llm.langid import held_out, identify, train
 from dnstide.llm.line_dedup import line_dedup
 from dnstide.llm.packing import pack
+from dnstide.llm.pii import KINDS, replace_pii
 from dnstide.llm.secrets import BASE, RULES, scan, spelled
 from dnstide.llm.shared import table
 from dnstide.llm.simhash import hex16, simhash_components
@@ -26,6 +27,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_pii(table(spark, sf_dir, "documents"), key="op4")
+    return found.select("row.doc_id", "text", *(F.col("entities")[k].alias(f"n_{k}") for k in KINDS))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rule"] < BASE)
@@ -59,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op5_secret_scan, op6_embedding_dedup, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op4_pii_surrogates, op5_secret_scan, op6_embedding_dedup, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
 
 ORACLES = {
     "op1_decontaminate": oracle.CONTAMINATION,
