@@ -16,6 +16,7 @@ from dnstide.llm.pii import KINDS, replace_pii
 from dnstide.llm.secrets import BASE, RULES, scan, spelled
 from dnstide.llm.shared import table
 from dnstide.llm.simhash import hex16, simhash_components
+from dnstide.llm.suffix_dedup import substring_dedup
 from dnstide.llm.url_filter import SOFT, SOFT_LIMIT, STRICT, url_filter
 
 
@@ -27,6 +28,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = replace_pii(table(spark, sf_dir, "documents"), key="op4")
     return found.select("row.doc_id", "text", *(F.col("entities")[k].alias(f"n_{k}") for k in KINDS))
@@ -65,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op4_pii_surrogates, op5_secret_scan, op6_embedding_dedup, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_suffix_dedup, op4_pii_surrogates, op5_secret_scan, op6_embedding_dedup, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
 
 ORACLES = {
     "op1_decontaminate": oracle.CONTAMINATION,
