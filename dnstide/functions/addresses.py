@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
@@ -18,7 +19,7 @@ def ipv4(c: Column) -> Column:
     return F.when(good, F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n * 256 + x.cast("bigint")))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def ipv6(texts: pd.Series) -> pd.Series:
     """An IPv6 address as 16 bytes; null for anything else."""
 

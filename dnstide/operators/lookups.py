@@ -66,7 +66,8 @@ def closest_ancestor(names: DataFrame, zones: DataFrame) -> DataFrame:
     """``name, zone`` for the distinct ``names(name)``: the deepest of ``zones(zone)`` that is the name or an
     ancestor of it, null if none is or the name is too long."""
     asked = names.select("name").distinct()
-    held = asked.select("name", F.posexplode(ancestors(full_name(F.col("name")))).alias("depth", "zone"))
+    full = full_name(F.col("name"))
+    held = asked.select("name", F.posexplode(F.when(full.isNotNull(), ancestors(full))).alias("depth", "zone"))
     best = held.join(small(zones.select("zone").distinct()), "zone").groupBy("name").agg(F.min_by("zone", "depth").alias("zone"))
     return asked.join(best, "name", "left").select("name", "zone")
 
