@@ -2,8 +2,9 @@
 
 Fingerprints link when they differ in at most ``radius`` bits. The tables are covering (Pagh, 2016): each bit gets a
 code of ``radius + 1`` bits, and for each of the ``2 ** (radius + 1) - 1`` nonzero vectors a table keeps the bits whose
-code has an even product with the vector. Up to ``radius`` differing bits span too few dimensions to block every
-vector, so each pair within the radius agrees in all kept bits of some table: no link is lost.
+code has an odd product with the vector. The codes of up to ``radius`` differing bits span too few dimensions, so some
+vector has an even product with all of them, and each pair within the radius agrees in all kept bits of its table: no
+link is lost.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def cover_masks(radius: int, seed: int = 20240607) -> list[int]:
     """The covering masks, as signed 64-bit numbers. Codes are dealt evenly over the nonzero vectors and shuffled."""
     size = (1 << (radius + 1)) - 1
     codes = np.random.default_rng(seed).permutation(np.resize(np.arange(1, size + 1), 64))
-    masks = [sum(1 << bit for bit, code in enumerate(codes.tolist()) if (code & v).bit_count() % 2 == 0) for v in range(1, size + 1)]
+    masks = [sum(1 << bit for bit, code in enumerate(codes.tolist()) if (code & v).bit_count() % 2) for v in range(1, size + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
