@@ -211,7 +211,7 @@ def subnet_remove(spark, sf_dir):
 def closest_ancestor(spark, sf_dir):
     r = records(spark, sf_dir)
     zones = r.where(F.col("zone").isin("z1.com", "z2.com")).select(F.concat("zone", F.lit(".")).alias("zone")).distinct()
-    zones = zones.union(r.where("domain like 'view%'").select(full_name(F.col("domain")).alias("zone")).distinct()).union(r.limit(1).select(F.lit("com.").alias("zone")))
+    zones = zones.union(r.where("domain like 'view%'").select(full_name(F.col("domain")).alias("zone")).distinct()).union(r.select(F.regexp_extract("zone", r"([^.]+)$", 1).alias("zone")).distinct().select(F.concat("zone", F.lit(".")).alias("zone")))
     return lookups.closest_ancestor(r.select(F.col("domain").alias("name")), zones)
 
 
