@@ -44,10 +44,9 @@ def subnet_remove(table: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def subnet_list(table: DataFrame) -> DataFrame:
-    """The prefixes in trie order, numbered from 1, and how many there are. The order is global, so the whole list
-    is one sort; subnets are few beside queries."""
-    ordered = table.select("net", "len", "info", F.row_number().over(Window.orderBy("net", "len")).alias("place"))
-    return ordered.crossJoin(F.broadcast(table.agg(F.count("*").alias("size"))))
+    """The prefixes in trie order, network first and the shorter prefix first, each with the number of all."""
+    size = table.agg(F.count("*").alias("size"))
+    return table.select("net", "len", "info").crossJoin(F.broadcast(size)).orderBy("net", "len")
 
 
 def subnet_lpm(addresses: DataFrame, table: DataFrame) -> DataFrame:

@@ -74,10 +74,19 @@ def interface_rates(values: DataFrame) -> DataFrame:
 
 def downsample(series: DataFrame, *keys: str, order: str = "stamp", points: int = POINTS) -> DataFrame:
     """At most ``points`` rows of each series: all if there are no more, else every (n div points)-th from the first,
-    the last row never, cut at ``points``. Rows of one stamp must be told apart by the series' other columns."""
+    the last row never, cut at ``points``. Rows of one stamp must be told apart by the series' other columns.
+
+    Rows are numbered within each day of a series, and days are placed by their counts, so that a long series isn't
+    sorted in one task.
+    """
     rest = [c for c in series.columns if c not in keys and c != order]
+    days = series.withColumn("_day", F.substring(order, 1, 8))
     own = Window.partitionBy(*keys)
-    i, n = F.row_number().over(own.orderBy(order, *rest)) - 1, F.count("*").over(own)
-    placed = series.withColumn("_i", i).withColumn("_n", n).withColumn("_step", F.floor(F.col("_n") / points))
-    thin = (F.col("_i") < F.col("_n") - 1) & (F.col("_i") % F.greatest("_step", F.lit(1)) == 0) & (F.floor(F.col("_i") / F.greatest("_step", F.lit(1))) < points)
-    return placed.where((F.col("_n") <= points) | thin).drop("_i", "_n", "_step")
+    counts = days.groupBy(*keys, "_day").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(*keys, "_day", before.alias("_before"), F.sum("_c").over(own).alias("_n"))
+    number = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(order, *rest)) - 1
+    rows = days.withColumn("_r", number).join(placed, [*keys, "_day"])
+    i, n, step = F.col("_before") + F.col("_r"), F.col("_n"), F.greatest(F.floor(F.col("_n") / points), F.lit(1))
+    thin = (i < n - 1) & (i % step == 0) & (F.floor(i / step) < points)
+    return rows.where((n <= points) | thin).select(*series.columns)

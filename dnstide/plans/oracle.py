@@ -198,7 +198,7 @@ both_kinds AS (
 SELECT kind, key, item, count, CAST(row_number() OVER (PARTITION BY kind, key ORDER BY count DESC, place) AS INTEGER) AS rank FROM both_kinds""",
     "history_topn": f"{HOURLY} {_range('hourly', 'domain', FINE)} ORDER BY query_num DESC, item LIMIT 10",
     "views_list": f"{BASE} SELECT DISTINCT key FROM keyed",
-    "subnet_list": f"{SUBNETS} SELECT net, len, info, CAST(row_number() OVER (ORDER BY net, len) AS INTEGER) AS place, count(*) OVER () AS size FROM subnets",
+    "subnet_list": f"{SUBNETS} SELECT net, len, info, count(*) OVER () AS size FROM subnets",
     "qps_10s": f"{BASE} SELECT key, {_STAMP.format(_end('ts', '10 seconds'))} AS stamp, count(*) / 10.0::DOUBLE AS qps FROM keyed GROUP BY ALL",
     "whole_point": f"{BASE} SELECT DISTINCT {_STAMP.format('ts')} AS stamp, {_STAMP.format('''time_bucket(INTERVAL '5 minutes', ts)''')} AS whole FROM rec",
     "five_minute_samples": f"{SAMPLES} SELECT key, stamp, qps, round(success_rate, 6) AS success_rate FROM samples",

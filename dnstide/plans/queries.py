@@ -327,7 +327,7 @@ def views_list(spark, sf_dir):
 
 @query
 def subnet_list(spark, sf_dir):
-    return lookups.subnet_list(_subnets(spark, sf_dir)).select("net", "len", "info", "place", "size")
+    return lookups.subnet_list(_subnets(spark, sf_dir)).select("net", "len", "info", "size")
 
 
 # Time windows and rollups
