@@ -30,13 +30,13 @@ _either = f"(?:{_names}|{_names.upper()})"
 _before = "|".join([_names, _names.upper(), *(t.replace(".", r"\.") for t in TITLES)])
 #: Kind and pattern, the first that fits at a place wins.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?!\w)",
-    "phone": r"(?<![\w.])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?!\w|[.-]\d)",
-    "given": rf"\b{_either}(?=\x20\p{{Lu}})",
-    "surname": rf"(?<=\b(?:{_before})\x20)\p{{Lu}}[\p{{L}}'-]+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"(?=\d)(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
+    "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?=\d)(?<![\w.+])\d(?:[ -]?\d){12,18}(?!\w)",
+    "phone": r"(?=[+(\d])(?<![\w.])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?!\w|[.-]\d)",
+    "given": rf"(?=\p{{Lu}})\b{_either}(?=\x20\p{{Lu}})",
+    "surname": rf"(?=\p{{Lu}})(?<=\b(?:{_before})\x20)\p{{Lu}}[\p{{L}}'-]+",
 }
 #: Groups are named in the order of KINDS by their number.
 PATTERN = "|".join(f"({p})" for p in KINDS.values())
