@@ -9,9 +9,12 @@ where no padding is due.
 
 from __future__ import annotations
 
+import os
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,53 +25,117 @@ from tokenizers import Tokenizer
 
 #: Tokens that a task holds before it packs what it has; windows that are not full stay for the next round.
 BLOCK_TOKENS = 4_000_000
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a worker remembers, new words that are encoded together, bytes of text encoded in one go.
+CACHE_WORDS, GROUP, GO_BYTES = 800_000, 64, 1 << 20
+#: After a letter or digit these are a token run of their own, whatever the word.
+MARKS = b".,;:!?#$%&*|"
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that treats words between blanks apart, by a bounded memory of words."""
+    """Ids of a tokenizer that treats words between blanks apart, lower-cases them and parts letters from marks; by a
+    bounded memory of words."""
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
         self.tokenizer, self.words = Tokenizer.from_file(path), words
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = [], []
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        parts = text.split()  # at [\x20\x09-\x0D], which no token spans
-        if not parts:
-            return np.zeros(0, np.uint32)
-        if len(self.known) > self.words:
-            self._clear()
-        new = [w for w in dict.fromkeys(parts) if w not in self.known]
-        if new:
-            for w, found in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                ids = found.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.known[w] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.used += len(ids)
-            self.start_array, self.size_array = np.array(self.starts), np.array(self.sizes)
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        sizes = self.size_array[at]
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.spans = np.zeros((1 << 12, 2), np.int64)  # by word: place and number of ids in flat
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the ids of words that aren't known."""
+        n, used = len(self.known), self.used
+        while n + len(words) > len(self.spans):
+            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.spans[n : n + len(words), 0] = used + np.cumsum(sizes) - sizes
+        self.spans[n : n + len(words), 1] = sizes
+        self.known.update(zip(words, range(n, n + len(words))))
+        self.used += len(ids)
+
+    def _join(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after another, and how many each has."""
+        starts, sizes = self.spans[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].T
         before = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(self.start_array[at] - before, sizes) + np.arange(sizes.sum())]
+        return self.flat[np.repeat(starts - before, sizes) + np.arange(sizes.sum())], sizes
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words are made of a lower-case base and the marks after it; both are encoded once."""
+        known, wanted, made = self.known, {}, []
+        for w in words:
+            low = w.lower() if b"<|" not in w else w
+            base = low.rstrip(MARKS)
+            text = base.decode("utf-8", "replace")
+            if not base or not text[-1].isalnum():
+                base, text = low, low.decode("utf-8", "replace")
+            marks = low[len(base) :]
+            if base not in known:
+                wanted[base] = text
+            if marks and marks not in known:
+                wanted[marks] = marks.decode()
+            if base != w:
+                made.append((w, base, marks))
+        letters = [w for w, text in wanted.items() if text.isalpha()]
+        groups = [letters[i : i + GROUP] for i in range(0, len(letters), GROUP)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(map(wanted.__getitem__, g)) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):  # else the vocabulary marks no ends: one by one, below
+                self._add(group, ids, np.diff(ends, prepend=0))
+        others = [w for w in wanted if w not in known]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([wanted[w] for w in others], add_special_tokens=False)]
+        self._add(others, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        made = [m for m in made if m[0] not in known]
+        ids, sizes = self._join([part for _, base, marks in made for part in (base, marks or base)])
+        both = np.array([bool(marks) for _, _, marks in made], bool)
+        keep = np.stack([np.ones(len(made), bool), both], 1).ravel()  # a word without marks gives its base alone
+        self._add([m[0] for m in made], ids[np.repeat(keep, sizes)], np.where(keep, sizes, 0).reshape(-1, 2).sum(1))
+
+    def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text, some texts at a time."""
+        at = 0
+        while at < len(texts):
+            parts, sizes, held = [], [], 0
+            while at < len(texts) and held < GO_BYTES:
+                own = texts[at].split()  # at [\x20\x09-\x0D], which no token spans
+                parts += own
+                sizes.append(len(own))
+                held += len(texts[at])
+                at += 1
+            new = set(parts).difference(self.known)
+            if new:
+                if len(self.known) > self.words:
+                    self._clear()
+                    new = set(parts)
+                self._learn(list(new))
+            ids, counts = self._join(parts)
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+            yield from np.split(ids, ends[:-1])
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of lengths, taken from ``counts``, whose sum is the largest up to ``room``.
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks that a worker process runs."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
+    return WordTokenizer(path)
+
+
+def fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
+    """The multiset of lengths whose sum is the largest up to ``room``, from ``lengths`` in order and their ``counts``.
 
     Bit s of a bitset says that a sum of s can be made. Counts are added in powers of two, so a length takes a step
     for each binary digit of its count; the search ends when ``room`` itself is reached.
     """
     reach, steps, full = 1, [], (1 << (room + 1)) - 1
-    for length in sorted((x for x in counts if 0 < x <= room and counts[x] > 0), reverse=True):
+    for i in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[i]
         left, times = min(counts[length], room // length), 1
         while left:
             times = min(times, left)
@@ -78,12 +145,12 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
             times *= 2
         if reach >> room & 1:
             break
-    at, taken = reach.bit_length() - 1, defaultdict(int)
+    at, taken = reach.bit_length() - 1, {}
     for length, times, before in reversed(steps):
         if not before >> at & 1:
             at -= length * times
-            taken[length] += times
-    return dict(taken)
+            taken[length] = taken.get(length, 0) + times
+    return taken
 
 
 class Packer:
@@ -109,15 +176,19 @@ class Packer:
 
     def _windows(self) -> Iterator[list[tuple]]:
         counts = {n: len(x) for n, x in self.by_length.items() if x}
-        while counts:
-            largest = max(counts)
-            taken = defaultdict(int, {largest: 1})
-            counts[largest] -= 1
-            for n, k in fill(counts, self.window - largest).items():
-                taken[n] += k
-                counts[n] -= k
-            yield [self.by_length[n].popleft() for n in sorted(taken, reverse=True) for _ in range(taken[n])]
-            counts = {n: k for n, k in counts.items() if k}
+        lengths = sorted(counts)
+
+        def take(n: int, k: int) -> list[tuple]:
+            counts[n] -= k
+            if not counts[n]:
+                del lengths[bisect_left(lengths, n)]
+            return [self.by_length[n].popleft() for _ in range(k)]
+
+        while lengths:
+            docs = take(lengths[-1], 1)
+            for n, k in fill(lengths, counts, self.window - len(docs[0][3])).items():
+                docs += take(n, k)
+            yield docs
 
     def pack(self, last: bool) -> Iterator[tuple]:
         """Rows of full windows; of all, with the ``last`` call."""
@@ -163,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordTokenizer(tokenizer_path), Packer(window)
+        encode, packer = word_tokenizer(tokenizer_path), Packer(window)
         base = TaskContext.get().partitionId() << 40
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,8 +246,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         rows, kind = [], None
         for b in batches:
             kind = b.schema.field(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                rows.extend(packer.add(doc, np.append(encode(text.as_py() or b""), np.uint32(end_id))))
+            texts = [x.as_py() or b"" for x in b.column(1)]
+            for doc, ids in zip(b.column(0).to_pylist(), encode(texts)):
+                rows.extend(packer.add(doc, np.append(ids, np.uint32(end_id))))
                 if packer.held > block_tokens:
                     rows.extend(packer.pack(last=False))
                 if len(rows) > 20_000:
