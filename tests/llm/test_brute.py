@@ -16,6 +16,7 @@ import corpus_pipeline
 from dnstide.llm import langid, pii, secrets, simhash, suffix_dedup
 from dnstide.llm.packing import fill
 from dnstide.llm.queries import ORACLES, QUERIES
+from dnstide.llm.shared import connected_components
 
 
 @pytest.fixture(scope="module")
@@ -174,6 +175,17 @@ def test_hot_buckets_connect_the_same(spark, hot):
     assert components(signed, lambda a, b: (a, b) in edges or (b, a) in edges) == want
 
 
+def test_components_of_chains_stars_and_random_graphs(spark):
+    rng = random.Random(9)
+    chain = list(range(0, 120))
+    rng.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(500, i) for i in range(501, 560)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(90)] + [(7, 7), (None, 3), (2000, 2000)]
+    pairs = {(a, b) for a, b in edges if a is not None and a != b}
+    want = components({x for p in pairs for x in p}, lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
 # Language
 
 
