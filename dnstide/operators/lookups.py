@@ -55,7 +55,7 @@ def subnet_lpm(addresses: DataFrame, table: DataFrame) -> DataFrame:
     that the table has."""
     lengths = [r["len"] for r in table.select("len").distinct().collect()]  # 32 at most
     ips = addresses.withColumn("_ip", ipv4(F.col("client_ip")))
-    nets = F.array(*(F.struct(network(F.col("_ip"), F.lit(n)).alias("net"), F.lit(n).alias("len")) for n in lengths)) if lengths else F.array().cast("array<struct<net:bigint,len:int>>")
+    nets = F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.struct(network(F.col("_ip"), n).alias("net"), n.alias("len")))
     met = ips.where("_ip is not null").select("client_ip", F.inline(nets)).join(small(table.select("net", "len", "info")), ["net", "len"])
     best = met.groupBy("client_ip").agg(F.max_by("info", "len").alias("info"))
     return addresses.join(best, "client_ip", "left").select("client_ip", "info", "count")

@@ -42,6 +42,14 @@ def kind(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.col("kind") == name)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a written table, as a job's history or lookup tables are; what reads it several times doesn't
+    work it out again."""
+    path = history.scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Sources and sinks
 
 
@@ -190,7 +198,7 @@ def subnet_lpm(spark, sf_dir):
 
 
 def _subnets(spark, sf_dir):
-    return lookups.subnet_insert(_cidrs(spark, sf_dir), "position").where("status = 'SUCCEED'").select("net", "len", "info")
+    return stored(lookups.subnet_insert(_cidrs(spark, sf_dir), "position").where("status = 'SUCCEED'").select("net", "len", "info"))
 
 
 @query
@@ -371,7 +379,7 @@ def retention(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    fine = rates.five_minute_samples(records(spark, sf_dir))
+    fine = stored(rates.five_minute_samples(records(spark, sf_dir)))
     named = fine.select(F.expr("stack(2, 'qps', qps, 'success_rate', success_rate) AS (series, value)"), F.col("key").alias("view"), "stamp").select("series", "view", "stamp", "value")
     return named, rates.half_hour_rollup(fine)
 
@@ -404,8 +412,8 @@ def downsample(spark, sf_dir):
 
 
 def _tables(spark, sf_dir, name):
-    fine = kind(hourly(spark, sf_dir), name)
-    return fine, rollup.daily_rollup(fine)
+    fine = stored(kind(hourly(spark, sf_dir), name))
+    return fine, stored(rollup.daily_rollup(fine))
 
 
 @query
