@@ -30,14 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, a lost executor costs nothing,
     and later plans know its real size."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = path or settled_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a settled table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows round robin, so that a join above shuffles both sides by itself and can split hot keys."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -49,10 +59,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each is a minimum per node and a join, so
     no node's neighbours meet in one task, and a hub is split like any hot key of a join. A round ends in a settled
-    table. Null ends are ignored; loops give nothing.
+    table, and the one before is deleted. Null ends are ignored; loops give nothing.
     """
+    spark, path = edges.sparkSession, settled_path(edges.sparkSession)
     low_high = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = settle(low_high.where(edges["a"].isNotNull() & edges["b"].isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    now = settle(low_high.where(edges["a"].isNotNull() & edges["b"].isNotNull() & (F.col("u") != F.col("v"))).distinct(), path)
     state = _state(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -60,7 +71,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lows = spread(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lows, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
+        before_path, path = path, settled_path(spark)
+        now = settle(small.union(lows.select("u", F.col("m").alias("v"))).distinct(), path)
+        discard(spark, before_path)
         state, before = _state(now), state
         if state == before:
             roots = now.select(F.col("v").alias("node")).distinct()
