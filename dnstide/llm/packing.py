@@ -14,7 +14,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from dnstide.llm.shared import worker_memory
+
 #: Tokens that a task holds before it packs what it has; windows that are not full stay for the next round.
 BLOCK_TOKENS = 4_000_000
-#: Distinct words whose ids a worker remembers, new words that are encoded together, bytes of text encoded in one go.
-CACHE_WORDS, GROUP, GO_BYTES = 800_000, 64, 1 << 20
+#: Distinct words whose ids a worker remembers, and how many of the first it keeps when there are more: frequent words
+#: come early. New words that are encoded together; bytes of text encoded in one go.
+CACHE_WORDS, KEEP_WORDS, GROUP, GO_BYTES = 600_000, 300_000, 64, 1 << 20
 #: After a letter or digit these are a token run of their own, whatever the word.
 MARKS = b".,;:!?#$%&*|"
 
@@ -40,13 +43,14 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.spans = np.zeros((1 << 12, 2), np.int64)  # by word: place and number of ids in flat
 
+    def _forget(self) -> None:
+        self.known = dict(islice(self.known.items(), KEEP_WORDS))
+        self.used = int(self.spans[len(self.known) - 1].sum()) if self.known else 0
+
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember the ids of words that aren't known."""
         n, used = len(self.known), self.used
@@ -112,19 +116,18 @@ class WordTokenizer:
             new = set(parts).difference(self.known)
             if new:
                 if len(self.known) > self.words:
-                    self._clear()
-                    new = set(parts)
+                    self._forget()
+                    new = set(parts).difference(self.known)
                 self._learn(list(new))
             ids, counts = self._join(parts)
             ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
             yield from np.split(ids, ends[:-1])
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for all tasks that a worker process runs."""
+    """One for all tasks of a worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
-    return WordTokenizer(path)
+    return worker_memory(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def worker_memory(key: tuple, make: Callable):
+    """What a worker process keeps from task to task: the last thing asked for, so that stages don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def settled_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
 
