@@ -20,19 +20,24 @@ from pyspark.sql import functions as F
 from dnstide.llm.shared import connected_components, settle, spread
 
 
-def fingerprint(text: bytes | None, words: int, seed: int = 42) -> int:
-    """SimHash of UTF-8 text: A-Z lower-cased, words between ASCII blanks, shingles of ``words`` words with repeats
-    (fewer words: the whole sequence; none: 0). Signed."""
+def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the shingles of UTF-8 text: A-Z lower-cased, words between ASCII blanks, shingles of ``words`` words
+    with repeats (fewer words: the whole sequence; none: nothing)."""
     parts = (text or b"").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, size = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(size + 1) - 1
     n = max(1, len(parts) - words + 1)
     last = ends[min(words, len(parts)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip((ends - size)[:n].tolist(), last.tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip((ends - size)[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, words: int, seed: int = 42) -> int:
+    """SimHash of the shingles of UTF-8 text; none: 0. Signed."""
+    hashes = shingle_hashes(text, words, seed)
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for texts of any length
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])

@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dnstide.llm import langid, pii, secrets, simhash, suffix_dedup
+from dnstide.llm import langid, near_dedup, pii, secrets, simhash, suffix_dedup
 from dnstide.llm.packing import fill
 from dnstide.llm.queries import ORACLES, QUERIES
 from dnstide.llm.shared import connected_components
@@ -186,6 +186,42 @@ def test_components_of_chains_stars_and_random_graphs(spark):
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_near_dedup_is_jaccard(spark, sf_dir, hot):
+    """Copies with some words changed, 5 to 20 bits of SimHash away, against all pairs."""
+    rng = random.Random(12)
+    rows = {}
+    for group in range(6):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([40, 90, 200]))]
+        for i in range(14):
+            own = list(base)
+            for at in rng.sample(range(len(own)), rng.randint(0, len(own) // 25)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            rows[group * 100 + i] = " ".join(own)
+    rows |= {1000: "", 1001: " \n", 1002: "two words", 1003: "Two  words", 1004: "two others"}
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {d: shingles(t) for d, t in rows.items()}
+    linked = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = components(rows, linked)
+    near = [(a, b) for a in rows for b in rows if a < b and linked(a, b) and sets[a] != sets[b]]
+    far = [1 for a, b in near if (plain_fingerprint(rows[a], 5) ^ plain_fingerprint(rows[b], 5)).bit_count() > 4]
+    assert len(far) > 20
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = near_dedup.near_dedup(docs, hot=hot)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_near_dedup_of_rows_without_id(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "A b c d e f g"), (None, "another text of a few words"), (1, "a text with an id, kept"), (None, "a text with an id, kept"), (2, "one"), (2, "two"), (2, "two"), (None, None), (None, "")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == [(0, ""), (0, "a b c d e f g"), (0, "another text of a few words"), (1, "a text with an id, kept"), (2, "one"), (2, "two")]
+
+
 # Language
 
 
