@@ -117,9 +117,10 @@ def _kind(docs: DataFrame) -> str:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, text binary): the hash tells rows of one doc_id apart."""
+    """(doc_id, text_hash, text binary): the hash tells rows of one doc_id apart, with all its 64 bits, as a table may
+    have very many rows under one doc_id or under none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("text_hash"), text.cast("binary").alias("text"))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([squeeze.compress(x.as_buffer()) for x in b.column(2)], pa.binary())], names=["doc_id", "text_hash", "z"])
 
-    return _rows(docs).mapInArrow(run, f"doc_id {_kind(docs)}, text_hash int, z binary")
+    return _rows(docs).mapInArrow(run, f"doc_id {_kind(docs)}, text_hash bigint, z binary")
 
 
 def anchors(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
@@ -145,7 +146,7 @@ def anchors(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
                 place = (at << 32) | ((at - first) << 16) | (at - last)
                 yield pa.record_batch([pa.array(hashes.view(np.int64)), b.column(0).take(which), b.column(1).take(which), pa.array(place)], names=["anchor", "doc_id", "text_hash", "place"])
 
-    return _rows(docs).mapInArrow(run, f"anchor bigint, doc_id {_kind(docs)}, text_hash int, place bigint")
+    return _rows(docs).mapInArrow(run, f"anchor bigint, doc_id {_kind(docs)}, text_hash bigint, place bigint")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -247,10 +248,10 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = GRAM, cap: i
     lists = twice.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "anchor", "salts")).alias("places")).withColumnsRenamed({"doc_id": "list_id", "text_hash": "list_hash"})
     kind = _kind(docs)
     joined = _squeezed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("list_id")) & (F.col("text_hash") == F.col("list_hash"))).select("doc_id", "text_hash", "z", "places", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("deal"))
-    contexts = joined.mapInArrow(lambda it: _contexts(it, length), f"doc_id {kind}, text_hash int, anchor bigint, salt bigint, salts bigint, first bigint, lead binary, bytes binary")
+    contexts = joined.mapInArrow(lambda it: _contexts(it, length), f"doc_id {kind}, text_hash bigint, anchor bigint, salt bigint, salts bigint, first bigint, lead binary, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = contexts.repartitionByRange(parts, "lead", "anchor", "salt").sortWithinPartitions("lead", "anchor", "salt")
-    found = settle(dealt.mapInArrow(lambda it: _buckets(it, length), f"doc_id {kind}, text_hash int, start bigint, stop bigint, h1 bigint, h2 bigint, n bigint"))
+    found = settle(dealt.mapInArrow(lambda it: _buckets(it, length), f"doc_id {kind}, text_hash bigint, start bigint, stop bigint, h1 bigint, h2 bigint, n bigint"))
     apart = found.where("n > 0")
     equal = apart.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
     more = apart.where("n = 1").join(spread(equal), ["h1", "h2"])

@@ -116,6 +116,17 @@ def test_substrings_of_odd_texts(spark, monkeypatch, cap):
     assert got == dict(enumerate(removed([(t or "").encode() for t in texts], 50)))
 
 
+def test_substrings_of_texts_with_equal_short_hashes(spark):
+    """Under one doc_id: xxhash64 of the two texts agrees in its low 31 bits."""
+    base = "hjdxmpeccamrjzybhqrliyf diga uzizigfjjuxlctkvmqhfhpic r jajs"
+    rows = [f"53995 {base}", f"144312 {base}"]
+    assert len({xxhash.xxh64_intdigest(t, 42) % (1 << 31) for t in rows}) == 1
+    for doc in (None, 1):
+        docs = spark.createDataFrame([(doc, t) for t in rows], "doc_id long, text string")
+        got = suffix_dedup.substring_dedup(docs, length=50, gram=8).collect()
+        assert sorted(bytes(r.kept) for r in got) == [b"144312", b"53995"]
+
+
 # SimHash
 
 
