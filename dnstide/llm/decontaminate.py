@@ -17,12 +17,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from dnstide.llm.shared import settle
-
 #: Letters, digits and underscores.
 WORD = r"[\p{L}\p{N}_]+"
 #: UTF-8 bytes of item texts in a broadcast block; further items make further blocks.
@@ -103,14 +102,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, thresho
     are each compared. Test items are broadcast in blocks of at most about ``block_bytes`` of text, one pass over the
     documents a block, so a large benchmark takes more passes and no more memory. The documents aren't shuffled.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, math.ceil(1.5 * size / block_bytes))
-    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_shingles bigint, n_found bigint, containment double"
     names, item_type = ["doc_id", "item_id", "n_shingles", "n_found", "containment"], to_arrow_type(benchmark.schema["item_id"].dataType)
-    spark, out = docs.sparkSession, None
-    for block in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.select("item_id", "text").toLocalIterator()])
+    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_shingles bigint, n_found bigint, containment double"
+    out = None
+    for shared in _blocks(benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(shared.value, words, threshold)
@@ -124,9 +119,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, thresho
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, columns as given. Of rows that repeat a doc_id all go if one is
-    contaminated; a row without doc_id goes if any such row is."""
-    found = contamination(docs, benchmark, words, threshold).select(F.col("doc_id").alias("found_id")).distinct()
-    found = settle(found)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """The test items, broadcast in blocks of at most about ``block_bytes`` of text."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, math.ceil(1.5 * size / block_bytes))
+    for block in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.select("item_id", "text").toLocalIterator()])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, columns as given. Each row is judged by its own text, whatever its
+    doc_id; a large benchmark takes a pass a block."""
+    at = docs.columns.index("text")
+    for shared in _blocks(benchmark, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sketches = Sketches(shared.value, words, threshold)
+            for b in batches:
+                yield b.filter(pa.array([next(sketches.search(x.as_py(), threshold), None) is None for x in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -73,6 +73,14 @@ def test_decontaminate_takes_all_of_the_item(docs, items):
     assert kept.columns == docs.columns and kept.where("doc_id in (1, 7)").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [40, 1 << 20])
+def test_decontaminate_judges_each_row(spark, block_bytes):
+    rows = [(None, "some plain words of a text"), (None, "a clean text without an id"), (3, "so some plain words of a text"), (3, "a clean text under the same id"), (None, None), (4, "other words of a second item")]
+    items = spark.createDataFrame([(1, "some plain words of a text"), (2, "other words of a second item")], "item_id long, text string")
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items, block_bytes=block_bytes).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "a clean text without an id"), (3, "a clean text under the same id")]
+
+
 def test_near_dedup_keeps_one(docs):
     got = sorted(r.doc_id for r in simhash_dedup(docs).where("doc_id is not null").select("doc_id").collect())
     assert got == [1, 2, 4, 6]
