@@ -3,8 +3,9 @@
 Documents are tokenized where they are read. Each piece that fills a window by itself is cut off; what remains of each
 document is packed whole. For each window the largest remaining length is set, and a subset-sum over a bitset of
 reachable sums picks, from the counts of remaining lengths, the multiset that leaves the least slack; the counts are
-recovered by going back through the bitsets. Only the last windows of a partition are cut again, at powers of two,
-where no padding is due.
+recovered by going back through the bitsets. Lengths that fill no window wait for more documents; if too many wait,
+and at a partition's end, they are laid one after another into full windows, with a cut at each window's end. Only the
+last window of a partition is cut at powers of two, where no padding is due.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from itertools import islice
 
 import numpy as np
@@ -25,7 +26,7 @@ from tokenizers import Tokenizer
 
 from dnstide.llm.shared import worker_memory
 
-#: Tokens that a task holds before it packs what it has; windows that are not full stay for the next round.
+#: Tokens that a task holds before it packs what it has; of those that fill no window it keeps at most a half.
 BLOCK_TOKENS = 4_000_000
 #: Distinct words whose ids a worker remembers, and how many of the first it keeps when there are more: frequent words
 #: come early. New words that are encoded together; bytes of text encoded in one go.
@@ -193,35 +194,43 @@ class Packer:
                 docs += take(n, k)
             yield docs
 
-    def pack(self, last: bool) -> Iterator[tuple]:
-        """Rows of full windows; of all, with the ``last`` call."""
+    def pack(self, last: bool, most: int = 0) -> Iterator[tuple]:
+        """Rows of the windows that the remaining lengths fill exactly. What fills none waits for the next call while
+        it has no more than ``most`` tokens; beyond that, and with the ``last`` call, it goes into full windows one
+        after another, the document at a window's end being cut there. The ``last`` window is cut at powers of two."""
         short = []
         for docs in self._windows():
-            used = sum(len(d[3]) for d in docs)
-            if used < self.window:
-                short.append(docs)
-                continue
-            yield from self._emit(docs, [self.window])
-        for docs in short:
-            used = sum(len(d[3]) for d in docs)
+            if sum(len(d[3]) for d in docs) < self.window:
+                short += docs
+            else:
+                yield from self._emit(docs, [self.window])
+        held = sum(len(d[3]) for d in short)
+        if last or held > most:
+            rest = held % self.window
+            sizes = [self.window] * (held // self.window)
             if last:
-                yield from self._emit(docs, [1 << b for b in reversed(range(used.bit_length())) if used >> b & 1])
+                short = yield from self._emit(short, sizes + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1])
             else:
-                for d in docs:
-                    self.by_length[len(d[3])].append(d)
-        self.held = sum(n * len(x) for n, x in self.by_length.items())
+                short = yield from self._emit(short, sizes)
+        for d in short:
+            self.by_length[len(d[3])].append(d)
+        self.held = sum(len(d[3]) for d in short)
 
-    def _emit(self, docs: list[tuple], sizes: list[int]) -> Iterator[tuple]:
+    def _emit(self, docs: list[tuple], sizes: list[int]) -> Generator[tuple, None, list[tuple]]:
+        """Rows of documents in sequences of the given sizes, one after another; returns what is left."""
         sizes, offset = deque(sizes), 0
-        for doc, start, total, ids in docs:
-            at, first = start, start
+        for n_done, (doc, start, total, ids) in enumerate(docs):
+            at = start
             while at < total:
+                if not sizes:
+                    return [(doc, at, total, ids[at - start :].copy()), *docs[n_done + 1 :]]
                 n = min(total - at, sizes[0] - offset)
-                yield self._row((doc, first), ids, total, at, at + n, offset)
+                yield self._row((doc, start), ids, total, at, at + n, offset)
                 at, offset = at + n, offset + n
                 if offset == sizes[0]:
                     sizes.popleft()
                     self.sequences, offset = self.sequences + 1, 0
+        return []
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -229,11 +238,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     sequence_id, offset``.
 
     A document is its ids and then ``end_id``, so a null or empty text is the one id; each id lies in one piece.
-    ``start`` counts the document's ids before the piece. Sequences hold ``window`` ids, or fewer: the last ones of
-    each partition are cut at powers of two, so none needs padding. ``sequence_id`` is unique, its upper bits the
-    partition's number; repeated rows and null ids are packed like any other; an empty table gives an empty one.
-    Memory is bounded by ``block_tokens`` and the longest text. ``tokenizer_path`` is a tokenizers file of a kind that
-    drops blanks and joins nothing over them.
+    ``start`` counts the document's ids before the piece. Sequences hold ``window`` ids; only the last window of each
+    partition is cut at powers of two, at most one of each, so none needs padding. ``sequence_id`` is unique, its upper
+    bits the partition's number. Repeated rows and null ids are packed like any other; of equal lengths the first come
+    first; columns besides these two are not read, whatever their names; an empty table gives an empty one. Memory is
+    bounded by ``block_tokens`` and the longest text, which is encoded and cut whole. ``tokenizer_path`` is a tokenizers
+    file of a kind that drops blanks and joins nothing over them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
             for doc, ids in zip(b.column(0).to_pylist(), encode(texts)):
                 rows.extend(packer.add(doc, np.append(ids, np.uint32(end_id))))
                 if packer.held > block_tokens:
-                    rows.extend(packer.pack(last=False))
+                    rows.extend(packer.pack(last=False, most=block_tokens // 2))
                 if len(rows) > 20_000:
                     yield batch(rows)
                     rows = []
