@@ -12,7 +12,7 @@ from dnstide.llm.embedding_dedup import embedding_dedup
 from dnstide.llm.langid import held_out, identify, train
 from dnstide.llm.line_dedup import line_dedup
 from dnstide.llm.packing import pack
-from dnstide.llm.pii import KINDS, replace_pii
+from dnstide.llm.pii import KINDS, NAMES, replace_pii
 from dnstide.llm.secrets import BASE, RULES, scan, spelled
 from dnstide.llm.shared import table
 from dnstide.llm.simhash import hex16, simhash_components
@@ -36,7 +36,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = replace_pii(table(spark, sf_dir, "documents"), key="op4")
-    return found.select("row.doc_id", "text", *(F.col("entities")[k].alias(f"n_{k}") for k in KINDS))
+    return found.select("row.doc_id", "text", *(F.col("entities")[k].alias(f"n_{k}") for k in (*KINDS, *NAMES)))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
