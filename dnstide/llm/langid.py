@@ -1,9 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-Spark counts the character n-grams of all training documents; the counts, bounded by ``max_grams``, become sorted hash
-arrays of discounted probabilities and interpolation weights, with a column per language. A text goes to the language
-of least cross-entropy per character. It is rejected where even that is out of line with what the language's own
-training text costs.
+Spark counts the character n-grams of labelled documents; all counts become sorted hash arrays of discounted
+probabilities and interpolation weights, with a column per language. The labelled rows are all there are up to a stated
+number, and beyond it a sample by hash of that size, so that the model is bounded and nothing is cut from its counts. A
+text goes to the language of least cross-entropy per character. It is rejected where even that is out of line with
+what labelled texts of that language, kept apart from the counts, cost.
 """
 
 from __future__ import annotations
@@ -16,19 +17,18 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import settle, worker_memory
+from dnstide.llm.shared import discard, settle, settled_path, worker_memory
 
 #: Characters of the longest n-gram.
 ORDER = 5
-#: Most n-grams of the highest order in the model, over all languages, and most cells (n-grams x languages): the bound
-#: of what is broadcast. Beyond it the rarest are left out, at a power of two of their count.
-MAX_GRAMS, MAX_CELLS = 400_000, 4_000_000
-#: Most languages; beyond it those with the fewest documents are left out.
-MAX_LANGUAGES = 200
-#: Rejection: nats a character above the mean of the training text, and standard errors beyond that.
+#: Labelled rows that the model is fitted on, over all languages, each language having an equal share; a language with
+#: more rows is sampled by hash. Of them one in so many is kept apart for the rejection.
+LABELLED_ROWS, APART = 40_000, 10
+#: Rejection: nats a character above the mean of the texts kept apart, and standard errors beyond that.
 SLACK, ERRORS = 0.75, 6.0
 #: Distinct words whose costs a worker remembers, and words that are looked up in one go.
 CACHE_WORDS, GO_WORDS = 300_000, 100_000
@@ -103,7 +103,7 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """For each order, sorted hashes of n-grams with discounted probabilities, and of contexts with the weight of the
-    next lower order; a last row stands for what is not there."""
+    next lower order; a last row stands for what is not there. ``mean`` and ``deviation`` of a character's cost."""
 
     order: int
     languages: list[str]
@@ -127,16 +127,15 @@ def _codes(grams: list[str], order: int) -> np.ndarray:
     return np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, order)
 
 
-def fit(counts: list[tuple[str, str, int]], order: int = ORDER) -> Model:
-    """The model of ``(lang, gram, n)`` rows. A language's lower orders count the different letters before an n-gram;
-    each order has the discount n1 / (n1 + 2 n2) of its counts."""
-    languages = sorted({lang for lang, _, _ in counts})
+def fit(counts: dict[str, tuple[list[str], np.ndarray]], order: int = ORDER) -> Model:
+    """The model of n-grams and their counts by language. A language's lower orders count the different letters before
+    an n-gram; each order has the discount n1 / (n1 + 2 n2) of its counts."""
+    languages = sorted(counts)
     alphas: list[list] = [[] for _ in range(order)]
     gammas: list[list] = [[] for _ in range(order)]
     tables = []
     for column, lang in enumerate(languages):
-        rows = [(g, n) for own, g, n in counts if own == lang]
-        codes, number = _codes([g for g, _ in rows], order), np.array([n for _, n in rows], float)
+        codes, number = _codes(counts[lang][0], order), np.asarray(counts[lang][1], float)
         tables.append((codes, number))
         for k in range(order, 0, -1):
             keys = _hash(codes)
@@ -164,19 +163,56 @@ def fit(counts: list[tuple[str, str, int]], order: int = ORDER) -> Model:
     return model
 
 
-def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
-    """Fit on all rows of ``docs(text, lang)`` with a language. Only counts within the bound come to the driver."""
-    docs = docs.where("lang is not null and text is not null")
-    languages = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    grams = settle(gram_counts(docs.where(F.col("lang").isin(languages)), order))
-    bound = min(max_grams, MAX_CELLS // max(1, len(languages)))
-    kept, least = 0, 0
-    for r in grams.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect():
-        kept += r["count"]
-        if kept > bound:
-            least = 2 ** (r["size"] + 1)
-            break
-    return fit([tuple(r) for r in grams.where(F.col("n") >= least).select("lang", "gram", "n").collect()], order)
+def labelled_sample(docs: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """``(lang, text, apart)`` of the rows of ``docs(doc_id, text, lang)`` with a language and a letter in the text: of
+    each language about an equal share of ``rows``, chosen by a hash of id and text, or all if there are fewer. One in
+    ``APART`` of a language with enough rows is marked as kept apart. The driver gets the number of rows by language."""
+    h = F.xxhash64("doc_id", "text")
+    some = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.pmod(h, F.lit(1 << 31)).alias("draw"), F.pmod(F.xxhash64(h), F.lit(APART)).alias("part"))
+    sizes = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+    if not sizes:
+        return some.select("lang", "text", F.lit(False).alias("apart"))
+    share = rows / len(sizes)
+    below = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, share / n) * (1 << 31)))))
+    many = F.col("lang").isin([lang for lang, n in sizes.items() if min(n, share) >= 5 * APART])
+    return some.where(F.col("draw") < below[F.col("lang")]).select("lang", "text", (many & (F.col("part") == 0)).alias("apart"))
+
+
+def train(docs: DataFrame, order: int = ORDER, rows: int = LABELLED_ROWS) -> Model:
+    """Fit on about ``rows`` rows of ``docs(doc_id, text, lang)`` that have a language, all if there are no more. The
+    driver gets the n-gram counts of these rows, and sums of costs by language of those kept apart."""
+    sample = labelled_sample(docs.select("doc_id", "text", "lang"), rows)
+    path = settled_path(docs.sparkSession)
+    counts = settle(gram_counts(sample.where("not apart"), order), path).toArrow().sort_by("lang").combine_chunks()
+    discard(docs.sparkSession, path)
+    ends = pc.run_end_encode(counts["lang"].combine_chunks()).run_ends.to_pylist() if len(counts) else []
+    parts = [counts.slice(start, end - start) for start, end in zip([0, *ends], ends)]
+    model = fit({x["lang"][0].as_py(): (x["gram"].to_pylist(), x["n"].to_numpy()) for x in parts}, order)
+    for lang, n, cost, letters, cost2, both, letters2 in costs_apart(sample.where("apart"), model).collect():
+        i, mean = model.languages.index(lang), cost / letters
+        model.mean[i] = mean
+        model.deviation[i] = np.sqrt(max(0.0, cost2 - 2 * mean * both + mean * mean * letters2) / letters)
+    return model
+
+
+def costs_apart(docs: DataFrame, model: Model) -> DataFrame:
+    """Of each language of ``docs(lang, text)``: the number of words, and sums of their costs under the language's own
+    model, of their lengths, and of the squares and products of both."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["lang", "n", "cost", "letters", "cost2", "both", "letters2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer.of(shared.value)
+        for b in batches:
+            rows = []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                costs, letters = score.word_costs(words_of(text.as_py()))
+                own = costs[:, score.model.languages.index(lang)]
+                rows.append((lang, len(own), own.sum(), letters.sum(), own @ own, own @ letters, letters @ letters))
+            yield pa.record_batch([pa.array(c, pa.string() if i == 0 else pa.float64()) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.string() if i == 0 else pa.float64()) for i in range(7)], names=names)
+
+    sums = docs.select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{x} double" for x in names[1:]))
+    return sums.groupBy("lang").agg(*(F.sum(x).alias(x) for x in names[1:])).where("letters > 0")
 
 
 class Scorer:
@@ -225,7 +261,8 @@ class Scorer:
                 words, counts = [], []
         yield from self._answers(words, counts)
 
-    def _answers(self, words: list[str], counts: list[int]) -> Iterator[tuple]:
+    def word_costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Costs by word and language, and lengths with the end of the word."""
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))  # frequent words come early
@@ -233,7 +270,10 @@ class Scorer:
         if new:
             self._learn(list(new))
         costs = self.costs[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
-        letters = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return costs, np.fromiter(map(len, words), np.int64, len(words)) + 1
+
+    def _answers(self, words: list[str], counts: list[int]) -> Iterator[tuple]:
+        costs, letters = self.word_costs(words)
         at = 0
         for n in counts:
             own = slice(at, at + n)
@@ -245,8 +285,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score, cross_entropy, rejected)`` for each row of ``docs(doc_id, text, ...)``.
 
     A text that is null or has no letter is ``und`` with score 0, no cross-entropy, and rejected; so is every text if
-    nothing was learned. Only the text is looked at, all of it. Of equally likely languages the first by name wins.
-    Repeated rows get equal answers.
+    nothing was learned. Only the text is looked at, all of it, however long. Of equally likely languages the first by
+    name wins. Repeated rows get equal answers; other columns are not read; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -261,8 +301,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs(doc_id, text, lang, ...)`` that aren't rejected, columns as given. The model is learned from
-    the rows that aren't held out; where those give no language, all rows stay."""
+    """The rows of ``docs(doc_id, text, lang, ...)`` that aren't rejected, columns as given, whatever their names. The
+    model is learned from the rows with an id and a language that aren't held out; where those give no language, all
+    rows stay. Null texts and those without a letter go; long ones are judged whole; repeated rows fare alike."""
     model = train(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
     if not model.languages:
         return docs

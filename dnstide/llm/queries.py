@@ -53,7 +53,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"))
-    model = train(docs.where(~out & F.col("doc_id").isNotNull()).select("text", "lang"))
+    model = train(docs.where(~out & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
     found = identify(docs, model)
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
