@@ -3,13 +3,15 @@
 A suffix array of every byte is too large to shuffle, so it is a sparse one. Each string of ``length`` bytes has an
 anchor: the k-gram in it with the least hash, the leftmost of equals. Equal strings have equal anchors at equal places,
 so only suffixes at anchors are filed, and only anchors that occur twice carry bytes: those of all strings that they
-anchor. Sampled splitters range-partition them by their leading bytes, equal anchors together; each bucket sorts its
-strings and compares neighbours byte by byte. Anchors that very many documents share are dealt over several buckets,
-and their strings that met no equal meet again by a 128-bit hash.
+anchor. Sampled splitters range-partition them by their leading bytes, equal anchors together; each bucket sorts the
+suffixes from the anchor on, and the prefixes back from it, by multikey sort, and what neighbours share tells which
+strings are equal on both sides: byte by byte, without hashes. Anchors that very many documents share are dealt over
+several buckets, and across these boundaries one string of each sort is compared by its 256-bit BLAKE2 digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ GRAM = 32
 BLOCK = 1 << 20
 #: Occurrences of an anchor in one bucket.
 CAP = 2000
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -73,7 +75,7 @@ class Anchors:
     """Anchors of texts, and for each the range of strings that it anchors."""
 
     def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.rolling = length, gram, Rolling(_BASES[0])
+        self.length, self.gram, self.rolling = length, gram, Rolling(_BASE)
 
     def pieces(self, texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         """Groups of (text number, start, bytes) of about a block each; longer texts are cut with an overlap that
@@ -150,7 +152,8 @@ def anchors(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, anchor, salt, salts, first, lead, bytes) of each place."""
+    """(doc_id, text_hash, anchor, salt, salts, first, at, lead, bytes) of each place; ``at`` is the anchor's place in
+    ``bytes``."""
     open_z = zstandard.ZstdDecompressor()
     for b in batches:
         for row in range(b.num_rows):
@@ -164,61 +167,109 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 salt = (b.column(4)[row].as_py() + start) % many
                 same = pa.array(np.full(n, row))
                 yield pa.record_batch(
-                    [b.column(0).take(same), b.column(1).take(same), pa.array(anchor[at : at + 4000]), pa.array(salt), pa.array(many), pa.array(first), pa.array([text[s : s + 8] for s in start.tolist()], pa.binary()), pa.array([text[f : x + length] for f, x in zip(first.tolist(), last.tolist())], pa.binary())],
-                    names=["doc_id", "text_hash", "anchor", "salt", "salts", "first", "lead", "bytes"],
+                    [b.column(0).take(same), b.column(1).take(same), pa.array(anchor[at : at + 4000]), pa.array(salt), pa.array(many), pa.array(first), pa.array(start - first), pa.array([text[s : s + 8] for s in start.tolist()], pa.binary()), pa.array([text[f : x + length] for f, x in zip(first.tolist(), last.tolist())], pa.binary())],
+                    names=["doc_id", "text_hash", "anchor", "salt", "salts", "first", "at", "lead", "bytes"],
                 )
 
 
+def multikey_sort(words: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of strings given as rows of ``words``, group by group: a word at a time, and only those that tie in
+    all words before go on to the next."""
+    order = np.argsort(group, kind="stable")
+    run = group[order]
+    for word in words.T:
+        tied = np.flatnonzero(np.concatenate([[False], run[1:] == run[:-1]]) | np.concatenate([run[1:] == run[:-1], [False]]))
+        if not len(tied):
+            break
+        key = word[order[tied]]
+        by = np.lexsort((key, run[tied]))
+        order[tied], key = order[tied[by]], key[by]
+        own = run[tied]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])
+        run[tied] = tied[np.flatnonzero(new)][np.cumsum(new) - 1] + len(run)  # above all groups' numbers, in order
+        run = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))
+    return order
+
+
+class Sides:
+    """The strings that begin at anchors, or run back from them, sorted within groups; for a length, those that agree
+    so far have one class."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int, width: int, group: np.ndarray):
+        n, places = len(starts), np.arange(-(-width // 8) * 8)
+        index = starts[:, None] + step * places[None, :]
+        inside = places[None, :] < np.minimum(sizes, width)[:, None]
+        strings = np.where(inside, data[np.where(inside, index, 0)], 0).astype(np.uint8)
+        self.order = multikey_sort(strings.view(">u8"), group)
+        own = strings[self.order]
+        differ = own[1:] != own[:-1]
+        shared = np.where(differ.any(1), differ.argmax(1), len(places))
+        same = group[self.order][1:] == group[self.order][:-1]
+        self.shared, self.places = np.concatenate([[-1], np.where(same, shared, -1)]), np.arange(n)
+
+    def classes(self, length: int) -> np.ndarray:
+        """By row: the first place in the order that agrees with it in so many bytes, and in the group."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.maximum.accumulate(np.where(self.shared < length, self.places, 0))
+        return out
+
+
 class Bucket:
-    """Sorts the strings of whole groups of equal anchors and finds equal neighbours."""
+    """Sorts the anchored suffixes of whole groups of equal anchors, and finds the strings that are equal on both sides
+    of the anchor."""
 
-    def __init__(self, length: int):
-        self.length, self.one, self.two = length, Rolling(_BASES[0]), Rolling(_BASES[1])
+    def __init__(self, length: int, gram: int):
+        self.length, self.gram = length, gram
 
     def __call__(self, table: pa.Table) -> pa.RecordBatch:
+        length = self.length
         texts = table["bytes"].to_pylist()
         data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(x) for x in texts])
-        begins, counts = np.cumsum(sizes) - sizes, sizes - self.length + 1
-        before = np.cumsum(counts) - counts
+        begins, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        before = np.cumsum(counts) - counts  # places of a row's strings among all
+        at, first = table["at"].to_numpy(), table["first"].to_numpy()
+        key = np.stack([table["anchor"].to_numpy(), table["salt"].to_numpy()])
+        leads = table["lead"].to_pylist()
+        new = np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(0) | np.array([x != y for x, y in zip(leads, leads[1:])], bool)])
+        group = np.cumsum(new)
+        right = Sides(data, begins + at, sizes - at, 1, length, group)
+        left = Sides(data, begins + at - 1, at, -1, length - self.gram, group)
+        found = np.zeros(int(counts.sum()), bool)
+        witness = []
+        for lead in range(int(at.max()) + 1):  # bytes of a string before its anchor
+            own = np.flatnonzero((at >= lead) & (at - lead < counts))
+            if len(own) < 2:
+                continue
+            both = left.classes(lead)[own] * len(at) + right.classes(length - lead)[own]
+            by = np.argsort(both, kind="stable")
+            twin = both[by][1:] == both[by][:-1]
+            again = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
+            place = before[own[by]] + at[own[by]] - lead
+            found[place[again]] = True
+            witness.append(place[again & ~np.concatenate([[False], twin])])
         row = np.repeat(np.arange(len(texts)), counts)
-        starts = np.repeat(begins - before, counts) + np.arange(counts.sum())
-        keys = self.one.at(self.one.prefix(data), starts, self.length)
-        order = np.argsort(keys)
-        ranked = keys[order]
-        twin = np.flatnonzero(ranked[1:] == ranked[:-1])
-        strings = np.lib.stride_tricks.sliding_window_view(data, self.length)
-        for at in range(0, len(twin), 20_000):
-            part = twin[at : at + 20_000]
-            same = (strings[starts[order[part]]] == strings[starts[order[part + 1]]]).all(1)
-            twin[at : at + 20_000] = np.where(same, part, -1)
-        twin = twin[twin >= 0]
-        found = np.zeros(len(starts), bool)
-        found[order[twin]] = found[order[twin + 1]] = True
-        place = table["first"].to_numpy()[row] + starts - begins[row]
+        start = np.arange(len(row)) - before[row]
+        place = first[row] + start
         edge = np.concatenate([[True], row[1:] != row[:-1]])
         opens = np.flatnonzero(found & (edge | ~np.concatenate([[False], found[:-1]])))
         closes = np.flatnonzero(found & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([found[1:], [False]])))
-        zeros = np.zeros(len(opens), np.int64)
-        parts = [(row[opens], place[opens], place[closes] + self.length, zeros, zeros, zeros)]
-        hot = np.flatnonzero((table["salts"].to_numpy() > 1)[row])
-        if len(hot):
-            second = self.two.at(self.two.prefix(data), starts[hot], self.length)
-            lone = ~found[hot]
-            witness = np.flatnonzero(~lone)
-            witness = witness[np.unique(keys[hot][witness], return_index=True)[1]]
-            for some, n in ((np.flatnonzero(lone), 1), (witness, 2)):
-                at = hot[some]
-                parts.append((row[at], place[at], place[at] + self.length, keys[at].view(np.int64), second[some].view(np.int64), np.full(len(at), n)))
+        parts = [(row[opens], place[opens], place[closes] + length, np.zeros(len(opens), np.int64))]
+        digests = [None] * len(opens)
+        dealt = (table["salts"].to_numpy() > 1)[row]
+        if dealt.any():  # equal strings may be in another bucket: one of each sort, and those that met none, go on
+            witness = np.concatenate(witness) if witness else np.zeros(0, np.int64)
+            for some, n in ((np.flatnonzero(dealt & ~found), 1), (witness[dealt[witness]], 2)):
+                parts.append((row[some], place[some], place[some] + length, np.full(len(some), n)))
+                digests += [hashlib.blake2b(texts[r][s : s + length], digest_size=32).digest() for r, s in zip(row[some].tolist(), start[some].tolist())]
         columns = [np.concatenate(x) for x in zip(*parts)]
-        which = pa.array(columns[0])
-        own = table.select(["doc_id", "text_hash"]).combine_chunks().take(which)
-        return pa.record_batch([own["doc_id"].combine_chunks(), own["text_hash"].combine_chunks(), *(pa.array(c) for c in columns[1:])], names=["doc_id", "text_hash", "start", "stop", "h1", "h2", "n"])
+        own = table.select(["doc_id", "text_hash"]).combine_chunks().take(pa.array(columns[0]))
+        return pa.record_batch([own["doc_id"].combine_chunks(), own["text_hash"].combine_chunks(), *(pa.array(c) for c in columns[1:]), pa.array(digests, pa.binary())], names=["doc_id", "text_hash", "start", "stop", "n", "digest"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Blocks of whole groups (anchor, salt) of the sorted rows."""
-    bucket, held, size = Bucket(length), [], 0
+    bucket, held, size = Bucket(length, gram), [], 0
     for b in batches:
         key = np.stack([b.column(i).to_numpy() for i in (2, 3)])
         ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
@@ -226,7 +277,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             previous = held[-1]
             if (previous.column(2)[-1].as_py(), previous.column(3)[-1].as_py()) != (int(key[0, 0]), int(key[1, 0])):
                 ends = np.concatenate([[0], ends])
-        done, total = 0, np.concatenate([[0], np.cumsum(pc.binary_length(b.column(7)).to_numpy())])
+        done, total = 0, np.concatenate([[0], np.cumsum(pc.binary_length(b.column(8)).to_numpy())])
         for end in ends.tolist():
             if size + total[end] - total[done] >= BLOCK:
                 held.append(b.slice(done, end - done))
@@ -239,23 +290,45 @@ def _buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield bucket(pa.Table.from_batches(held))
 
 
+def repeated_rows(docs: DataFrame) -> DataFrame:
+    """``(again_id, again_hash)`` of the rows that are there more than once."""
+    counts = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).count().where("count > 1")
+    return counts.select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
+
+
+def once(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` without the repetitions of the rows named."""
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("text_hash") == F.col("again_hash"))
+    one = rows.join(again, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    return rows.join(again, same, "left_anti").select("doc_id", "text").union(one.select("doc_id", "text"))
+
+
 def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = GRAM, cap: int = CAP) -> DataFrame:
     """``(doc_id, text_hash, ranges array<struct<start, stop>>)`` for the rows with repeated strings: byte ranges,
-    sorted, that may overlap."""
+    sorted, that may overlap. A row that is there more than once is searched once and is a range by itself."""
+    again = settle(repeated_rows(docs))
+    whole = None
+    if not again.isEmpty():
+        bytes_of = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+        same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("again_hash"))
+        whole = docs.join(again, same).where(bytes_of >= length).select("doc_id", F.col("again_hash").alias("text_hash"), F.lit(0).cast("bigint").alias("start"), bytes_of.alias("stop")).distinct()
+        docs = once(docs, again)
     spots = anchors(docs, length, gram)
     counts = spots.groupBy("anchor").count().where("count > 1").select("anchor", F.ceil(F.col("count") / cap).cast("bigint").alias("salts"))
     twice = spots.join(spread(counts), "anchor")
     lists = twice.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "anchor", "salts")).alias("places")).withColumnsRenamed({"doc_id": "list_id", "text_hash": "list_hash"})
     kind = _kind(docs)
-    joined = _squeezed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("list_id")) & (F.col("text_hash") == F.col("list_hash"))).select("doc_id", "text_hash", "z", "places", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("deal"))
-    contexts = joined.mapInArrow(lambda it: _contexts(it, length), f"doc_id {kind}, text_hash bigint, anchor bigint, salt bigint, salts bigint, first bigint, lead binary, bytes binary")
+    joined = _squeezed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("list_id")) & (F.col("text_hash") == F.col("list_hash"))).select("doc_id", "text_hash", "z", "places", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 40)).alias("deal"))
+    contexts = joined.mapInArrow(lambda it: _contexts(it, length), f"doc_id {kind}, text_hash bigint, anchor bigint, salt bigint, salts bigint, first bigint, at bigint, lead binary, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = contexts.repartitionByRange(parts, "lead", "anchor", "salt").sortWithinPartitions("lead", "anchor", "salt")
-    found = settle(dealt.mapInArrow(lambda it: _buckets(it, length), f"doc_id {kind}, text_hash bigint, start bigint, stop bigint, h1 bigint, h2 bigint, n bigint"))
+    found = settle(dealt.mapInArrow(lambda it: _buckets(it, length, gram), f"doc_id {kind}, text_hash bigint, start bigint, stop bigint, n bigint, digest binary"))
     apart = found.where("n > 0")
-    equal = apart.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
-    more = apart.where("n = 1").join(spread(equal), ["h1", "h2"])
+    equal = apart.groupBy("digest").agg(F.sum("n").alias("all")).where("all > 1").select("digest")
+    more = apart.where("n = 1").join(spread(equal), "digest")
     ranges = found.where("n = 0").select("doc_id", "text_hash", "start", "stop").union(more.select("doc_id", "text_hash", "start", "stop"))
+    ranges = ranges if whole is None else ranges.union(whole)
     return ranges.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
 
 
@@ -264,8 +337,9 @@ def substring_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, cap: i
 
     ``spans`` are the maximal runs of bytes covered by strings of ``length`` bytes that start anywhere else too, in
     the same text or another row's; ``kept`` is the rest of the UTF-8 text. Strings are judged on the input. A null
-    text is empty; a row repeated is another text, so both lose all if they are long enough. An empty table gives an
-    empty one.
+    text is empty; a row repeated is another text, so both lose all if they are long enough. Long texts are searched
+    whole, in blocks with an overlap. Other columns are not read, whatever their names. An empty table gives an empty
+    one.
     """
     ranges = repeated_ranges(docs, length, gram, cap).withColumnsRenamed({"doc_id": "range_id", "text_hash": "range_hash"})
     joined = _squeezed(docs).join(ranges, F.col("doc_id").eqNullSafe(F.col("range_id")) & (F.col("text_hash") == F.col("range_hash")), "left").select("doc_id", "z", "ranges")
