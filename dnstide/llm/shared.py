@@ -23,18 +23,35 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` or the context's checkpoint folder names. Where neither is set, as in
+    tests, a local session makes a temporary one; on a cluster that would be a folder of one machine, so it raises."""
+    at, own = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and own.isDefined():
+        at = own.get()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Settled tables that results not yet written may read.
+_settled: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the settled tables of all operators so far; call it when their results are written or not wanted."""
+    while _settled:
+        discard(spark, _settled.pop())
+
+
 def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, a lost executor costs nothing,
     and later plans know its real size."""
-    path = path or settled_path(df.sparkSession)
+    if path is None:
+        path = settled_path(df.sparkSession)
+        _settled.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
