@@ -1,8 +1,9 @@
 """Secret scan with a trigram inverted index, in DataFrame functions alone.
 
-From each rule's regular expression a Boolean query over trigrams is derived: what every match must contain. Postings
-(trigram, document) of the trigrams asked for are intersected per document, and only the rules whose query holds are
-run on a document's text. Rules without mandatory trigrams run on every text.
+From each rule's regular expression a Boolean query over trigrams is derived: what every match must contain. The
+postings (trigram, document) of the trigrams asked for are a written table; they are intersected rule by rule, without
+a text, and only then the texts of the documents that a rule is left with are read and its expression run on them.
+Rules without mandatory trigrams run on every text where it is read first.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import ascii_lower
+from dnstide.llm.shared import ascii_lower, settle, spread
 
 
 @dataclass(frozen=True)
@@ -110,28 +111,37 @@ def _exact_run(nodes) -> set[str] | None:
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index ``(trigram, doc_id)`` of the trigrams given, a row for each text that has one."""
-    low = docs.select("doc_id", ascii_lower(F.col("text")).alias("low"))
-    held = F.filter(F.array(*(F.lit(t) for t in trigrams)), lambda t: F.contains("low", t))
-    return low.select(F.explode(held).alias("trigram"), "doc_id")
+    """The inverted index ``(trigram, doc_id, text_hash)`` of the trigrams given, by their numbers: a row for each text
+    that has one."""
+    low = _keyed(docs).select("doc_id", "text_hash", ascii_lower(F.col("text")).alias("low"))
+    held = F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), i) for i, t in enumerate(trigrams))), lambda x: x.isNotNull())
+    return low.select(F.explode(held).alias("trigram"), "doc_id", "text_hash")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``(doc_id, rules array<int>)``: numbers of the rules with mandatory trigrams whose query a document meets."""
+    """``(doc_id, text_hash, rules array<int>)``: numbers of the rules with mandatory trigrams whose query a text meets.
+
+    A rule's clauses all hold, a clause holds by one of its sets of trigrams, a set by all its postings; each is an
+    intersection or union of postings, and one shuffle by document serves all.
+    """
     asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     names = sorted({t for q in asked.values() for clause in q for terms in clause for t in terms})
     number = {t: i for i, t in enumerate(names)}
-    held = postings(docs, names).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-
-    def term(terms: frozenset[str]) -> Column:
-        return reduce(Column.__and__, (F.array_contains("held", t) for t in sorted(terms, key=number.get)))
-
-    def holds(q: Query) -> Column:
-        return reduce(Column.__and__, (reduce(Column.__or__, (term(t) for t in sorted(c, key=sorted))) for c in q))
-
-    met = F.filter(F.array(*(F.when(holds(q), i) for i, q in asked.items())), lambda x: x.isNotNull())
-    return held.select("doc_id", met.alias("rules")).where(F.size("rules") > 0)
+    terms = [(number[t], i, c, s, len(own)) for i, q in asked.items() for c, clause in enumerate(q) for s, own in enumerate(sorted(clause, key=sorted)) for t in own]
+    spark = docs.sparkSession
+    plan = spark.createDataFrame(terms, "trigram int, rule int, clause int, terms int, size int")
+    clauses = spark.createDataFrame([(i, len(q)) for i, q in asked.items()], "rule int, clauses int")
+    index = settle(postings(docs, names)).repartition("doc_id", "text_hash")
+    key = ["doc_id", "text_hash"]
+    met = index.distinct().join(F.broadcast(plan), "trigram").groupBy(*key, "rule", "clause", "terms", "size").count().where("count = size")
+    held = met.select(*key, "rule", "clause").distinct().groupBy(*key, "rule").agg(F.count("*").alias("n"))
+    return held.join(F.broadcast(clauses), "rule").where("n = clauses").groupBy(*key).agg(F.collect_set("rule").alias("rules"))
 
 
 def running(steps: Column) -> Column:
@@ -148,43 +158,59 @@ def running(steps: Column) -> Column:
     return F.flatten(F.transform(chunks, lambda c, i: totals(c, F.get(before, i))))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``(doc_id, spans array<struct<start, rule, end>>)`` for each row of ``docs(doc_id, text, ...)``: all matches of
-    all rules by start, then rule number; positions in code points, ends exclusive.
-
-    A null or empty text has none. Spans of different rules may overlap. Rows that repeat a doc_id are each scanned;
-    a null doc_id is a document like any other. Extra columns aren't read.
-    """
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
-    rows = rows.join(found, F.col("row_id").eqNullSafe(F.col("doc_id")), "left")
-    scans_fully = [not trigram_query(r.pattern) for r in rules]
+def _spans(rows: DataFrame, rules: tuple[Rule, ...], run: dict[int, Column]) -> DataFrame:
+    """``(doc_id, text_hash, spans)`` of ``rows(doc_id, text_hash, text)``: the matches of the rules with these numbers,
+    each where its column holds."""
     none = F.array().cast("array<string>")
-    run = [F.lit(True) if full else F.coalesce(F.array_contains("rules", i), F.lit(False)) for i, full in enumerate(scans_fully)]
-    rows = rows.select("row_id", "text", *(F.when(run[i], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none).alias(f"m{i}") for i, r in enumerate(rules)))
-    some = [F.size(f"m{i}") > 0 for i in range(len(rules))]
+    key = ["doc_id", "text_hash"]
+    rows = rows.select(*key, "text", *(F.when(on, F.regexp_extract_all("text", F.lit(rules[i].pattern), F.lit(0))).otherwise(none).alias(f"m{i}") for i, on in run.items()))
+    rows = rows.where(reduce(Column.__or__, (F.size(f"m{i}") > 0 for i in run)))
     rows = rows.select(
-        "row_id",
-        *(f"m{i}" for i in range(len(rules))),
-        *(F.when(some[i], F.split("text", r.pattern)).otherwise(none).alias(f"g{i}") for i, r in enumerate(rules)),
-        *(F.when(some[i], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).otherwise(none).alias(f"x{i}") for i, r in enumerate(rules) if r.group),
+        *key,
+        *(f"m{i}" for i in run),
+        *(F.when(F.size(f"m{i}") > 0, F.split("text", rules[i].pattern)).otherwise(none).alias(f"g{i}") for i in run),
+        *(F.when(F.size(f"m{i}") > 0, F.regexp_extract_all("text", F.lit(rules[i].pattern), F.lit(rules[i].group))).otherwise(none).alias(f"x{i}") for i in run if rules[i].group),
     )
     size = lambda c: F.char_length(c).cast("bigint")
 
     def step(i: int) -> Column:
         return F.transform(F.col(f"m{i}"), lambda _, k: size(F.get(f"g{i}", k)) + F.when(k > 0, size(F.get(f"m{i}", k - 1))).otherwise(0))
 
-    steps = [step(i) for i in range(len(rules))]
-    rows = rows.select("*", *(F.when(F.size(f"m{i}") > 0, running(x)).otherwise(F.array().cast("array<bigint>")).alias(f"s{i}") for i, x in enumerate(steps)))
+    rows = rows.select("*", *(F.when(F.size(f"m{i}") > 0, running(step(i))).otherwise(F.array().cast("array<bigint>")).alias(f"s{i}") for i in run))
 
-    def spans(i: int, r: Rule) -> Column:
+    def spans(i: int) -> Column:
+        r = rules[i]
         all_of = F.transform(
             F.col(f"s{i}"),
             lambda s, k: F.struct(s.alias("start"), F.lit(i).alias("rule"), (s + size(F.get(f"m{i}", k))).alias("end"), (F.char_length(F.get(f"x{i}" if r.group else f"m{i}", k)) >= r.least).alias("good")),
         )
         return F.transform(F.filter(all_of, lambda x: x["good"]), lambda x: F.struct(x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end")))
 
-    return rows.select(F.col("row_id").alias("doc_id"), F.sort_array(F.concat(*(spans(i, r) for i, r in enumerate(rules)))).alias("spans"))
+    return rows.select(*key, F.concat(*map(spans, run)).alias("spans")).where(F.size("spans") > 0)
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(doc_id, spans array<struct<start, rule, end>>)`` for each row of ``docs(doc_id, text, ...)``: all matches of
+    all rules by start, then rule number; positions in code points, ends exclusive.
+
+    A null or empty text has none. Spans of different rules may overlap; of one rule the leftmost comes first. Rows that
+    repeat a doc_id are each scanned; a null doc_id is a document like any other. Long texts are scanned whole. Extra
+    columns aren't read, whatever their names. An empty table gives an empty one.
+    """
+    rows, key = _keyed(docs), ["doc_id", "text_hash"]
+    indexed = [i for i, r in enumerate(rules) if trigram_query(r.pattern)]
+    found = []
+    if len(indexed) < len(rules):
+        found.append(_spans(rows, rules, {i: F.lit(True) for i in range(len(rules)) if i not in indexed}))
+    if indexed:
+        left = settle(candidates(docs, rules)).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+        read = rows.join(left, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")))
+        found.append(_spans(read, rules, {i: F.array_contains("rules", i) for i in indexed}))
+    spans = reduce(DataFrame.union, found).groupBy(*key).agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    spans = settle(spans).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+    joined = rows.select(*key).join(spread(spans), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left")
+    none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
+    return joined.select("doc_id", F.sort_array(F.coalesce("spans", none)).alias("spans"))
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
