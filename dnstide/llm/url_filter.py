@@ -13,10 +13,24 @@ from dnstide.llm.shared import ascii_lower
 
 #: verdict, rule (host/path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: One of these rejects a url.
-STRICT = ("adult-x", "bestiality", "cheap-pills", "child-porn", "escort-service", "hardcore", "malware", "phishing", "porn", "spam-farm", "viagra", "warez", "xxx")
+#: Fixed vocabulary, a parameter of url_filter. One of these rejects a url: sexual content, malware and fraud, piracy,
+#: medicine spam, in English, Spanish, French and German.
+STRICT = tuple(
+    "adult-x adultchat adultsex beastiality bestiality blowjob bukkake camgirls camsex cumshot deepthroat ebony-porn escort-service "
+    "escortgirls freeporn fuck gangbang hardcore hentai hookups incest livesex milf nudes onlyfans-leak orgy porn porn-tube porno "
+    "pornhub pornos pornstars putas sexcam sexchat sexo sexshop sexvideos sexcams shemale upskirt xhamster xnxx xvideos xxx "
+    "child-porn malware phishing ransomware spam-farm spyware trojan keylogger warez torrents-free serial-keys cracked-software "
+    "cheap-pills cheap-viagra buy-viagra cialis-online levitra tramadol viagra xanax".split()
+)
 #: So many different ones of these reject it.
-SOFT = ("adult", "bet", "bonus", "casino", "cheap", "cialis", "crack", "escort", "farm", "free", "gambling", "keygen", "loan", "naked", "nude", "pills", "poker", "replica", "sex", "slots", "spam", "torrent", "win")
+SOFT = tuple(
+    "18plus adult adulte adultos adulto amateur babes bet bets betting bingo blackjack bonus brides busty cams casino casinos cash "
+    "cheap chicas cialis clickbank coupon crack cracks credit dating debt desnuda drugs earn erotic erotica erotik escort escorts "
+    "farm fetish forex free freebies gambling generic girls gratis gratuit hack hacks hot jackpot kamagra keygen kostenlos lesbian "
+    "lingerie loan loans lottery lotto mature money naked nackt nude nudist nue payday pharmacy pharma pills poker prescription "
+    "prizes promo replica replicas roulette rx seduction serial sex sexe sexy slot slots spam spins sportsbook strip teen teens "
+    "tits torrent torrents unlimited vip voyeur wager webcam wetten win winner".split()
+)
 SOFT_LIMIT = 2
 
 
