@@ -36,8 +36,8 @@ TITLES = "Doktor Dr Frau Herr Madame Miss Mlle Mme Monsieur Mr Mrs Ms Prof Profe
 CUES = ("name is", "Name:", "Contact:", "Signed:", "Author:")
 #: Fixed list: particles between parts of a name.
 PARTICLES = ("al", "bin", "da", "de la", "de", "del", "di", "du", "el", "la", "le", "van der", "van", "von")
-#: A capitalised word of at most 40 letters a part.
-CAP = r"\p{Lu}(?:[\p{L}\p{M}]{1,39}+|(?=['’-]\p{Lu}))(?:['’-]\p{Lu}[\p{L}\p{M}]{1,39}+){0,3}+(?![\p{L}\p{M}\p{N}])"
+#: A capitalised word of at most four parts of at most 40 letters.
+CAP = r"\p{Lu}(?:[\p{L}\p{M}]{1,39}+|(?=['’-]\p{Lu}))(?:['’-]\p{Lu}[\p{L}\p{M}]{1,39}+){0,3}+(?![\p{L}\p{M}\p{N}]|['’-]\p{Lu})"
 #: Kind and pattern of all but names, the first that fits at a place wins. No pattern goes back over a long text: what
 #: repeats is a class of characters, is bounded, or gives nothing back.
 KINDS = {
@@ -258,7 +258,7 @@ def replace_pii(docs: DataFrame, key: str, given: dict[str, list[str]] = GIVEN)
     ``key`` is secret and decides all surrogates; ``given`` are the given names by group. A null text stays null, an
     empty one empty. Repeated rows, also under one doc_id or none, are each rewritten, alike where alike. Columns of
     any name come back in ``row``. An empty table gives an empty one. Whole texts are read whatever their length; an
-    address of over 64 characters before the @ or 255 after it, and a word of over 40 letters, are no entities. Of two
+    address of over 64 characters before the @ or 255 after it, and a word of over 40 letters or four hyphened parts, are no entities. Of two
     kinds that fit at a place the first of ``KINDS`` wins.
     """
     found = settle(mentions(docs, given))

@@ -164,7 +164,6 @@ def _spans(rows: DataFrame, rules: tuple[Rule, ...], run: dict[int, Column]) ->
     none = F.array().cast("array<string>")
     key = ["doc_id", "text_hash"]
     rows = rows.select(*key, "text", *(F.when(on, F.regexp_extract_all("text", F.lit(rules[i].pattern), F.lit(0))).otherwise(none).alias(f"m{i}") for i, on in run.items()))
-    rows = rows.where(reduce(Column.__or__, (F.size(f"m{i}") > 0 for i in run)))
     rows = rows.select(
         *key,
         *(f"m{i}" for i in run),
@@ -186,7 +185,7 @@ def _spans(rows: DataFrame, rules: tuple[Rule, ...], run: dict[int, Column]) ->
         )
         return F.transform(F.filter(all_of, lambda x: x["good"]), lambda x: F.struct(x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end")))
 
-    return rows.select(*key, F.concat(*map(spans, run)).alias("spans")).where(F.size("spans") > 0)
+    return rows.select(*key, F.concat(*map(spans, run)).alias("spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -206,7 +205,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         left = settle(candidates(docs, rules)).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
         read = rows.join(left, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")))
         found.append(_spans(read, rules, {i: F.array_contains("rules", i) for i in indexed}))
-    spans = reduce(DataFrame.union, found).groupBy(*key).agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    # no filter before this: it would be pushed down to the texts and take the expressions along, place by place
+    spans = reduce(DataFrame.union, found).groupBy(*key).agg(F.flatten(F.collect_set("spans")).alias("spans")).where(F.size("spans") > 0)
     spans = settle(spans).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
     joined = rows.select(*key).join(spread(spans), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left")
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")

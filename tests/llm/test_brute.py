@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from dnstide.llm import langid, near_dedup, pii, secrets, simhash, suffix_dedup
-from dnstide.llm.packing import fill
+from dnstide.llm.embedding_dedup import embedding_dedup
+from dnstide.llm.packing import Packer, fill
 from dnstide.llm.queries import ORACLES, QUERIES
 from dnstide.llm.shared import connected_components
 
@@ -68,6 +69,25 @@ def test_packing_round_trip(spark, sf_dir, texts, tokenizer):
     check_pieces(QUERIES["op2_packing"](spark, sf_dir).collect(), texts, tokenizer)
 
 
+@pytest.mark.parametrize("size", [3000, 2049, 1000])
+def test_packing_equal_lengths(size):
+    """Lengths that fill no window: held tokens stay bounded, and all windows but the last are full."""
+    packer, rows, most, n = Packer(4096), [], 0, 2000
+    for i in range(n):
+        rows.extend(packer.add(i, np.full(size, i, np.uint32)))
+        if packer.held > 400_000:
+            rows.extend(packer.pack(last=False, most=200_000))
+        most = max(most, packer.held)
+    rows.extend(packer.pack(last=True))
+    assert most <= 400_000 + size
+    assert packer.sequences <= -(-n * size // 4096) + 12
+    used = Counter()
+    for _, _, length, _, _, sequence, _ in rows:
+        used[sequence] += length
+    assert sum(used.values()) == n * size and all(v & (v - 1) == 0 for v in used.values())
+    assert sum(v < 4096 for v in used.values()) <= 12
+
+
 def test_fill_is_least_slack():
     rng = random.Random(1)
     for _ in range(200):
@@ -116,6 +136,25 @@ def test_substrings_of_odd_texts(spark, monkeypatch, cap):
     assert got == dict(enumerate(removed([(t or "").encode() for t in texts], 50)))
 
 
+def test_substrings_of_repeated_rows(spark):
+    """Rows that are there several times under one id, or none, and share strings with another text."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abc ") for _ in range(400))
+    rows = [(1, base)] * 5 + [(None, base[50:300])] * 3 + [(2, "short")] * 4 + [(3, "zz" + base[200:330] + "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((len(r.kept), r.n_bytes, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.substring_dedup(docs, length=50, gram=8).collect())
+    assert got == sorted((n - gone, n, kept) for n, gone, _, kept in removed([t.encode() for _, t in rows], 50))
+
+
+def test_multikey_sort():
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 3, (300, 5)).astype(np.uint64)
+    group = np.sort(rng.integers(0, 4, 300))
+    order = suffix_dedup.multikey_sort(words, group)
+    rows = [(int(group[i]), *words[i].tolist()) for i in order]
+    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(300))
+
+
 def test_substrings_of_texts_with_equal_short_hashes(spark):
     """Under one doc_id: xxhash64 of the two texts agrees in its low 31 bits."""
     base = "hjdxmpeccamrjzybhqrliyf diga uzizigfjjuxlctkvmqhfhpic r jajs"
@@ -252,15 +291,59 @@ def test_model_is_a_distribution():
     rng = random.Random(2)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(300)]
     counts = Counter(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1))
-    model = langid.fit([("x", g, n) for g, n in counts.items()], 3)
+    model = langid.fit({"x": (list(counts), np.array(list(counts.values())))}, 3)
     for context in ("  ", " a", "ab", "cc"):
         codes = np.array([[ord(c) for c in context + x] for x in "abc z"], np.uint32)
         assert abs(np.exp(model.log_probability(codes)).sum() - 1) < 1e-6
 
 
+def plain_kneser_ney(counts, order, letters):
+    """Interpolated Kneser-Ney with one discount an order, by dictionaries, as a function of an n-gram."""
+    levels = {order: dict(counts)}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / (letters + 1)
+        own = levels[len(gram)]
+        n1, n2 = (sum(v == i for v in own.values()) for i in (1, 2))
+        d = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.75))
+        after = {g: n for g, n in own.items() if g[:-1] == gram[:-1]}
+        lower = p(gram[1:])
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(own.get(gram, 0) - d, 0) / total + sum(min(n, d) for n in after.values()) / total * lower
+
+    return p
+
+
+def test_model_is_kneser_ney():
+    rng = random.Random(6)
+    counts = {}
+    for lang, letters in (("x", "abc"), ("y", "bcd")):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+        counts[lang] = Counter(f"   {w} "[i : i + 4] for w in words for i in range(len(w) + 1))
+    model = langid.fit({lang: (list(c), np.array(list(c.values()))) for lang, c in counts.items()}, 4)
+    grams = ["   a", "  ab", "abca", "bcd ", "dddd", "zzza", "abcz", "ccbd"]
+    got = np.exp(model.log_probability(np.array([[ord(c) for c in g] for g in grams], np.uint32)))
+    for i, lang in enumerate(("x", "y")):
+        p = plain_kneser_ney(counts[lang], 4, len({g[-1] for c in counts.values() for g in c}))
+        assert np.allclose(got[:, i], [p(g) for g in grams], rtol=1e-5)
+
+
+def test_labelled_sample_is_bounded_and_keeps_languages(spark):
+    rows = [(i, f"words of a text {i}", "aa") for i in range(3000)] + [(10_000 + i, "some others", "bb") for i in range(7)] + [(20_000, "x", None), (20_001, "12 34", "aa")]
+    found = langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 400).groupBy("lang", "apart").count().collect()
+    n = {(r.lang, r.apart): r["count"] for r in found}
+    assert n["bb", False] == 7 and ("bb", True) not in n
+    assert 120 <= n["aa", False] + n["aa", True] <= 280 and 5 <= n["aa", True] <= 50
+
+
 def test_other_languages_are_rejected(spark, docs):
     odd = spark.createDataFrame([(1, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία του κόσμου " * 9), (2, "zzxq kjqw vvbx qqqq wwxz " * 20)], "doc_id long, text string")
-    model = langid.train(docs.select("text", "lang"))
+    model = langid.train(docs)
     assert [r.rejected for r in langid.identify(odd, model).collect()] == [True, True]
 
 
@@ -287,9 +370,11 @@ def test_surrogates(spark, sf_dir, texts):
     n = 0
     for doc, text in texts.items():
         r, new = got[doc], got[doc].text
-        kinds = [k for k in pii.KINDS if k not in ("given", "surname")]
+        kinds = list(pii.KINDS)
+        for m in re.findall(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{3}-\d\d-\d{4}\b|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", text):
+            assert m not in new  # what another, plainer detector finds
         old = [m for k in kinds for m in re.findall(pii.KINDS[k], text)]
-        if not sum(r[f"n_{k}"] for k in pii.KINDS):
+        if not sum(r[f"n_{k}"] for k in (*pii.KINDS, *pii.NAMES)):
             assert new == text
             continue
         n += len(old)
@@ -320,6 +405,64 @@ def test_surrogates_stay_distinct_and_keep_form(spark):
     assert woman.endswith("ова") and man.endswith("ов") and woman.split()[1][:-1] == man.split()[1]
 
 
+#: text, words and spans that must go, what must stay
+PEOPLE = [
+    ("Anna Petrova came. Later Anna slept and Petrova left. Annabelle too, PETROVA!", "Anna Petrova PETROVA", "came. Later slept and left. Annabelle too,"),
+    ("Mr. Παπαδόπουλος and Dr. Nguyễn met Herr Müller.", "Παπαδόπουλος Nguyễn Müller", "Mr. and Dr. met Herr"),
+    ("Sanjay Gupta, Wei Zhang, Yuki Tanaka", "Sanjay Gupta Wei Zhang Yuki Tanaka", ", ,"),
+    ("Anna K. Petrova; Juan de la Cruz; my name is Zbigniew Wójcik. Wójcik!", "Anna Petrova Juan Cruz Zbigniew Wójcik", "K. de la my name is"),
+    ("at 10.0.0.5, 192.168.3.4, 8.8.8.8, 2001:db8::ff00:42:8329 at 12:30:45", "10.0.0.5 192.168.3.4 8.8.8.8 2001:db8::ff00:42:8329", "12:30:45"),
+    ("IBAN DE89370400440532013000, GB82WEST12345698765432, XX12345678901234567890", "DE89370400440532013000 GB82WEST12345698765432", "IBAN XX12345678901234567890"),
+    ("Nothing of that Kind here, Smith alone", "", "Nothing of that Kind here, Smith alone"),
+]
+
+
+def test_people_and_numbers(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(PEOPLE)], "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in pii.replace_pii(docs, "key").collect()}
+    words = lambda t: re.findall(r"[^\s,;!]+", t.replace(". ", " ").rstrip("."))
+    for i, (_, gone, stays) in enumerate(PEOPLE):
+        assert not set(words(gone)) & set(words(got[i])), got[i]
+        for w in words(stays):
+            assert w in got[i]
+    one = re.fullmatch(r"(\S+) (\S+) came. Later (\S+) slept and (\S+) left. Annabelle too, (\S+)!", got[0]).groups()
+    assert one[0] == one[2] and one[1] == one[3] and one[4] == one[1].upper()
+    assert re.search(r"Mr. [Α-ωά-ώ]+ and Dr. [A-Z][a-z]+ met Herr [A-Z][a-z]+\.", got[1])
+    assert re.match(r"at 10\.\d+\.\d+\.\d+, 192\.168\.\d+\.\d+, ", got[4])
+    for account in re.findall(r"(?:DE|GB)\w+", got[5]):
+        assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+LONG = {"dots": "x@a" + ".a" * 20_000 + ".com", "letters": "A" * 1_000_000, "ats": "a@" * 300_000, "digits": "1" * 1_000_000, "hex": ":a" * 400_000, "hyphens": "Mr. " + "A-B" * 300_000, "accounts": "AB12 " * 100_000, "brackets": "(12) " * 150_000}
+
+
+def test_pii_in_long_tokens(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(LONG.values())], "doc_id long, text string")
+    assert [r.text for r in pii.replace_pii(docs, "key").orderBy("row.doc_id").collect()] == list(LONG.values())
+
+
+# Vectors
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_vectors_against_all_pairs(spark, hot):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for centre in rng.standard_normal((12, 16)):
+        for _ in range(40):
+            rows.append((centre + rng.standard_normal(16) * rng.choice([0.05, 0.2, 0.4])) * 10.0 ** rng.integers(-150, 150))
+            labels.append(int(rng.integers(0, 2)))
+    rows, labels = np.array([*rows, *rows[:30]]), [*labels, *labels[:30]]
+    unit = rows / np.abs(rows).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(linked, False)
+    want = components(range(len(rows)), lambda a, b: linked[a, b])
+    docs = spark.createDataFrame([(i, labels[i], r.tolist()) for i, r in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(docs, hot_size=hot).collect()}
+    assert got == {i: (int(linked[i].sum()), want[i]) for i in range(len(rows))}
+
+
 # Pipeline
 
 
@@ -335,8 +478,9 @@ def test_pipeline(spark, sf_dir, texts, docs, tokenizer):
             if len(key) < 10 or seen.setdefault(key, doc) == doc:
                 lines.append(x)
         left[doc] = "\n".join(lines)
-    fp = {d: plain_fingerprint(t, 5) for d, t in left.items()}
-    root = components(fp, lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t)) for d, t in left.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+    root = components(sets, lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     left = {d: t for d, t in left.items() if root[d] == d}
 
     def shingles(text):

@@ -8,6 +8,7 @@ from dnstide.llm.decontaminate import contamination, decontaminate
 from dnstide.llm.embedding_dedup import embedding_dedup
 from dnstide.llm.langid import identify, keep_known_languages, train
 from dnstide.llm.line_dedup import line_dedup, line_dedup_texts
+from dnstide.llm.near_dedup import near_dedup
 from dnstide.llm.packing import pack
 from dnstide.llm.pii import replace_pii
 from dnstide.llm.secrets import scan
@@ -17,7 +18,7 @@ from dnstide.llm.url_filter import url_filter
 
 LONG = " ".join(f"word{i} token = {'ab' * 20} mail{i}@x.example.com" for i in range(3000)) + "\n" + "a line that is repeated often enough\n" * 500
 #: Extra columns with names that operators use inside.
-COLUMNS = "doc_id long, text string, lang string, h1 long, fp long, node string, key string, row string, dropped string, spans string"
+COLUMNS = "doc_id long, text string, lang string, h1 long, fp long, node string, key string, row string, found_id string, spans string"
 ROWS = [(1, "some plain words of a text\nand one more line here", "en"), (2, None, "en"), (3, "", None), (4, LONG, "en"), (4, LONG, "en"), (4, "another text under the same id", "de"), (None, "a text without an id\nand one more line here", None), (None, None, None), (5, " \n\t\n  ", "en"), (6, "1234 5678 !!", "fr"), (7, "some plain words of a text\nand one more line here", "en")]
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,6 +57,59 @@ def test_rows(docs, items, name):
     assert rows is None or len(got) == rows
 
 
+def test_values_of_odd_rows(docs):
+    text = [r[1] or "" for r in ROWS]
+    lengths = sorted((r.doc_id or 0, r.doc_tokens) for r in pack(docs, TOKENS).where("start = 0").collect())
+    assert len(lengths) == 11 and lengths.count((0, 1)) == 1 and (2, 1) in lengths and (3, 1) in lengths and (5, 1) in lengths
+    assert len({n for d, n in lengths if d == 4}) == 2
+    gone = sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in substring_dedup(docs).collect())
+    n = len(LONG.encode())
+    assert gone == sorted((r[0] or 0, len(t.encode()), 0 if t == LONG else len(t.encode())) for r, t in zip(ROWS, text)) and (4, n, 0) in gone
+    new = {(r.row.doc_id, r.row.text): (r.text, r.entities.email) for r in replace_pii(docs, "k").collect()}
+    assert new[2, None] == (None, 0) and new[3, ""] == ("", 0) and new[1, text[0]] == (text[0], 0)
+    assert new[4, LONG][1] == 3000 and "@x.example.com" not in new[4, LONG][0]
+    spans = sorted((r.doc_id or 0, len(r.spans)) for r in scan(docs).collect())
+    assert spans.count((4, 6000)) == 2 and sum(k for _, k in spans) == 12000
+    kept = sorted(r.doc_id for r in keep_known_languages(docs.where("doc_id in (1, 2, 3, 5, 6, 7)")).collect())
+    assert not {2, 3, 5, 6} & set(kept)
+
+
+def test_ties(spark):
+    """Texts and vectors that are equally near to several; of equals the smallest id decides."""
+    words = "a b c d e f g h i j"
+    rows = [(9, words), (3, words), (5, words), (3, words), (8, "other words entirely here now"), (7, "other words entirely here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash_components(docs).collect()) == [(3, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 3)]
+    assert sorted(r.doc_id for r in near_dedup(docs).collect()) == [3, 7]
+    both = spark.createDataFrame([(1, "abab abab", "x"), (2, "abab abab", "y")], "doc_id long, text string, lang string")
+    got = identify(both, train(both)).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("x", 0.5)] * 2
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, items):
+    """Each stage on the same odd rows: columns as given, nothing but what it is there to drop."""
+    import corpus_pipeline
+
+    texts = {r[1] for r in ROWS}
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "decontaminate":
+            got = decontaminate(docs, items)
+        else:
+            got = stage(spark, docs, None)
+        rows = got.collect()
+        if name != "packing":
+            assert got.columns == docs.columns
+        if name == "near_dedup":
+            assert sorted(r.doc_id for r in rows if r.doc_id) == [1, 2, 4, 4, 6]
+        if name == "line_dedup":
+            assert len(rows) == 11
+        if name == "packing":
+            assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+        if name == "decontaminate":
+            assert {r.text for r in rows} == texts - {ROWS[0][1]}
+        assert name == "packing" or stage(spark, docs.where("false"), None).collect() == [] if name != "decontaminate" else True
+
+
 @pytest.mark.parametrize("name", list(operators(None)))
 def test_empty(docs, items, name):
     assert operators(items)[name][0](docs.where("false")).collect() == []
