@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
@@ -19,17 +15,19 @@ def ipv4(c: Column) -> Column:
     return F.when(good, F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n * 256 + x.cast("bigint")))
 
 
-@F.pandas_udf(T.BinaryType())
-def ipv6(texts: pd.Series) -> pd.Series:
-    """An IPv6 address as 16 bytes; null for anything else."""
-
-    def one(text: str | None) -> bytes | None:
-        try:
-            return ipaddress.IPv6Address(text).packed if text else None
-        except ValueError:
-            return None
-
-    return texts.map(one)
+def ipv6(c: Column | str) -> Column:
+    """An IPv6 address as 16 bytes; null for anything else. Only texts with a colon are looked at."""
+    text = F.lower(F.col(c) if isinstance(c, str) else c)
+    dotted = F.regexp_extract(text, r"(?<=:)([^:]*\.[^:]*)$", 1)  # the last 32 bits may be a v4 address
+    v4 = F.lpad(F.hex(ipv4(dotted)), 8, "0")
+    plain = F.when(dotted == "", text).otherwise(F.concat(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(dotted)), F.substring(v4, 1, 4), F.lit(":"), F.substring(v4, 5, 4)))
+    halves = F.split(F.lower(plain), "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":", -1), lambda x: x != "")
+    hexes = lambda i: F.array_join(F.transform(groups(i), lambda x: F.lpad(x, 4, "0")), "")
+    n = F.size(groups(0)) + F.size(groups(1))
+    good = F.forall(halves, lambda x: x.rlike("^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*+)?$")) & F.when(F.size(halves) == 1, n == 8).otherwise((F.size(halves) == 2) & (n <= 7))
+    whole = F.concat(hexes(0), F.repeat(F.lit("0"), 32 - 4 * n), hexes(1))
+    return F.when(text.contains(":") & (F.char_length(text) <= 45), F.when(good, F.unhex(whole)))
 
 
 def subnet(cidr: Column) -> Column:
@@ -55,6 +53,8 @@ def same_network(a: Column, b: Column, a_mask: Column, b_mask: Column, a_packed:
     mask = F.greatest(F.lit(0), F.least(a_mask, b_mask))
     m4, m6 = F.least(mask, F.lit(32)), F.least(mask, F.lit(128))
     v4 = network(x, m4) == network(y, m4)
-    bits = lambda p: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.lpad(F.conv(F.substring(F.hex(p), i, F.lit(1)), 16, 2), 4, "0")), "")
-    v6 = F.substring(bits(a_packed), F.lit(1), m6) == F.substring(bits(b_packed), F.lit(1), m6)
+    digits = F.floor(m6 / 4).cast("int")
+    start = lambda p: F.substring(F.hex(p), F.lit(1), digits)
+    rest = lambda p: F.call_function("shiftright", F.coalesce(F.conv(F.substring(F.hex(p), digits + 1, F.lit(1)), 16, 10).cast("int"), F.lit(0)), 4 - m6 % 4)
+    v6 = (start(a_packed) == start(b_packed)) & ((m6 % 4 == 0) | (rest(a_packed) == rest(b_packed)))
     return F.when(x.isNotNull() & y.isNotNull(), v4).when(a_packed.isNotNull() & b_packed.isNotNull(), v6).otherwise(False)

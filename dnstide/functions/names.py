@@ -41,8 +41,8 @@ def valid_key(key: Column) -> Column:
 
 
 def ancestors(name: Column) -> Column:
-    """Array of the name itself and its ancestors, nearest first, down to the root dot."""
-    labels = F.filter(F.split(name, r"\."), lambda x: x != "")
+    """Array of the full name itself and its ancestors, nearest first, down to the root dot: what is left after each
+    dot in turn, so that an empty label counts as one."""
+    labels = F.split(without_root(name), r"\.")
     suffix = lambda i: F.concat(F.array_join(F.slice(labels, i, F.size(labels)), "."), F.lit("."))
-    own = F.when(F.size(labels) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), suffix)).otherwise(F.array().cast("array<string>"))
-    return F.concat(own, F.array(F.lit(".")))
+    return F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), suffix), F.array(F.lit("."))))

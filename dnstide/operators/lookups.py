@@ -1,22 +1,14 @@
-"""Lookups as joins: subnets by longest prefix, closest ancestors of names, exact names."""
+"""Lookups as joins: subnets by longest prefix, closest ancestors of names, exact names. A lookup table that is stored
+has a known size, by which the optimizer broadcasts it or not."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dnstide.functions.addresses import ipv4, network, subnet
 from dnstide.functions.names import ancestors, full_name
 
-#: Rows up to which a lookup table is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the table has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def parse_cidr(table: DataFrame) -> DataFrame:
     """``table(cidr, ...)`` with ``net``, ``len`` and ``status``, SUCCEED or FORMAT_ERROR."""
     parsed = table.withColumn("_s", subnet(F.col("cidr")))
@@ -27,11 +19,15 @@ def subnet_insert(table: DataFrame, order: str) -> DataFrame:
     """``table(cidr, info, <order>)`` with ``net``, ``len`` and ``status``: the first of equal prefixes is inserted,
     later ones are DUP_KEY."""
     parsed = parse_cidr(table)
-    good = parsed.where("status = 'SUCCEED'")
-    first = good.groupBy("net", "len").agg(F.min(order).alias("_first"))
-    status = F.when(F.col(order) == F.col("_first"), "SUCCEED").otherwise("DUP_KEY")
-    placed = good.join(first, ["net", "len"]).withColumn("status", status).select(*parsed.columns)
-    return placed.unionByName(parsed.where("status != 'SUCCEED'"))
+    first = parsed.where("net is not null").groupBy("net", "len").agg(F.min(order).alias("_first"))
+    status = F.when(F.col("net").isNull(), "FORMAT_ERROR").when(F.col(order) == F.col("_first"), "SUCCEED").otherwise("DUP_KEY")
+    return parsed.drop("status").join(first, ["net", "len"], "left").withColumn("status", status).select(*parsed.columns)
+
+
+def subnet_table(table: DataFrame, order: str) -> DataFrame:
+    """``net, len, info`` of the prefixes that subnet_insert would insert, by one aggregate."""
+    good = parse_cidr(table).where("net is not null")
+    return good.groupBy("net", "len").agg(F.min_by("info", order).alias("info"))
 
 
 def subnet_remove(table: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +52,7 @@ def subnet_lpm(addresses: DataFrame, table: DataFrame) -> DataFrame:
     lengths = [r["len"] for r in table.select("len").distinct().collect()]  # 32 at most
     ips = addresses.withColumn("_ip", ipv4(F.col("client_ip")))
     nets = F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.struct(network(F.col("_ip"), n).alias("net"), n.alias("len")))
-    met = ips.where("_ip is not null").select("client_ip", F.inline(nets)).join(small(table.select("net", "len", "info")), ["net", "len"])
+    met = ips.where("_ip is not null").select("client_ip", F.inline(nets)).join(table.select("net", "len", "info"), ["net", "len"])
     best = met.groupBy("client_ip").agg(F.max_by("info", "len").alias("info"))
     return addresses.join(best, "client_ip", "left").select("client_ip", "info", "count")
 
@@ -67,7 +63,7 @@ def closest_ancestor(names: DataFrame, zones: DataFrame) -> DataFrame:
     asked = names.select("name").distinct()
     full = full_name(F.col("name"))
     held = asked.select("name", F.posexplode(F.when(full.isNotNull(), ancestors(full))).alias("depth", "zone"))
-    best = held.join(small(zones.select("zone").distinct()), "zone").groupBy("name").agg(F.min_by("zone", "depth").alias("zone"))
+    best = held.join(zones.select("zone").distinct(), "zone").groupBy("name").agg(F.min_by("zone", "depth").alias("zone"))
     return asked.join(best, "name", "left").select("name", "zone")
 
 

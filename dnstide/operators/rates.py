@@ -26,6 +26,16 @@ def qps_10s(records: DataFrame) -> DataFrame:
     return counts.select("key", stamp(F.col("tick")).alias("stamp"), (F.col("count") / 10.0).alias("qps"))
 
 
+def fill_ticks(qps: DataFrame, start: str, end: str) -> DataFrame:
+    """``key, stamp, qps`` at every ten seconds with ``start <= stamp < end``, 0.0 where a key of ``qps`` had no query;
+    both bounds are marks of ten seconds."""
+    time = lambda x: F.to_timestamp(F.lit(x), "yyyyMMddHHmmss")
+    last = time(end) - F.expr("INTERVAL 10 SECONDS")
+    ticks = F.sequence(time(start), last, F.expr("INTERVAL 10 SECONDS")) if start < end else F.array().cast("array<timestamp>")
+    every = qps.select("key").distinct().select("key", F.explode(ticks).alias("tick")).select("key", stamp(F.col("tick")).alias("stamp"))
+    return every.join(qps, ["key", "stamp"], "left").select("key", "stamp", F.coalesce("qps", F.lit(0.0)).alias("qps"))
+
+
 def _marks(records: DataFrame) -> DataFrame:
     """Sums of each five minutes with any query, and the mark at which the next such five minutes end, or the hour's
     end: until then nothing changes."""

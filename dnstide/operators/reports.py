@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dnstide.operators.rates import downsample
+
 
 def quoted(c: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    """A text as JSON, control characters escaped."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.char_length(listed) - 2)
 
 
 def _list(df: DataFrame, key: str, order: Column, first: Column, second: Column) -> DataFrame:
@@ -22,8 +26,8 @@ def list_json(ranked: DataFrame) -> DataFrame:
 
 
 def series_json(series: DataFrame) -> DataFrame:
-    """``key, body``: a series as [[stamp, value], ...]."""
-    return _list(series, "key", F.col("stamp"), F.col("stamp"), F.col("value"))
+    """``key, body``: a series as [[stamp, value], ...]. Series are thinned first, to a bounded number of points."""
+    return _list(downsample(series, "key"), "key", F.col("stamp"), F.col("stamp"), F.col("value"))
 
 
 def value_json(values: DataFrame, name: str) -> DataFrame:

@@ -71,14 +71,14 @@ half AS (
 #: pfx: a prefix of each line's client; subnets: those inserted.
 SUBNETS = f"""{BASE},
 pfx AS (
-  SELECT event_id AS position, client_ip || CASE WHEN event_id % 41 = 0 THEN '' WHEN event_id % 43 = 0 THEN '/8x' ELSE '/' || (event_id % 35) END AS cidr,
+  SELECT event_id AS position, rcode, client_ip || CASE WHEN event_id % 41 = 0 THEN '' WHEN event_id % 43 = 0 THEN '/8x' ELSE '/' || (event_id % 35) END AS cidr,
          'net' || (event_id % 100) AS info, CASE WHEN event_id % 41 = 0 OR event_id % 43 = 0 THEN NULL ELSE event_id % 35 END AS size,
          CASE WHEN client_ip LIKE '%:%' THEN NULL ELSE string_split(client_ip, '.')[1]::BIGINT * 16777216 + string_split(client_ip, '.')[2]::BIGINT * 65536
               + string_split(client_ip, '.')[3]::BIGINT * 256 + string_split(client_ip, '.')[4]::BIGINT END AS ip
   FROM rec
 ),
 cidrs AS (
-  SELECT position, cidr, info, CASE WHEN ip IS NOT NULL AND size BETWEEN 1 AND 32 THEN ((ip >> (32 - size)) << (32 - size))::BIGINT END AS net,
+  SELECT position, rcode, cidr, info, CASE WHEN ip IS NOT NULL AND size BETWEEN 1 AND 32 THEN ((ip >> (32 - size)) << (32 - size))::BIGINT END AS net,
          CASE WHEN ip IS NOT NULL AND size BETWEEN 1 AND 32 THEN size::INTEGER END AS len
   FROM pfx
 ),
@@ -127,7 +127,7 @@ ORACLES: dict[str, str] = {
     "stats_reply": f"{BASE} SELECT key, '[' || string_agg('\"' || name || '\"', ',' ORDER BY rank) || ']' AS names, '[' || string_agg(count::VARCHAR, ',' ORDER BY rank) || ']' AS counts FROM ({_top('dname', 20)}) GROUP BY key",
     "report_json": f"""{SAMPLES}
 SELECT 'domaintopn' AS report, key, '[' || string_agg('["' || name || '", ' || count || ']', ', ' ORDER BY rank) || ']' AS body FROM ({_top('dname', 10)}) GROUP BY key
-UNION ALL SELECT 'qps', key, '[' || string_agg('["' || stamp || '", ' || qps::VARCHAR || ']', ', ' ORDER BY stamp) || ']' FROM samples GROUP BY key
+UNION ALL SELECT 'qps', key, '[' || string_agg('["' || stamp || '", ' || qps::VARCHAR || ']', ', ' ORDER BY stamp) || ']' FROM ({_thin('samples', 'key', 'stamp')}) GROUP BY key
 UNION ALL SELECT 'success_rate', key, '{{"success_rate": ' || format('{{:.6f}}', count(*) FILTER (WHERE rcode <> 'SERVFAIL') / count(*)::DOUBLE) || '}}' FROM keyed GROUP BY key""",
     "reject_lines": _REASONS,
     "view_keys": f"{BASE} SELECT event_id AS position, key FROM keyed",
@@ -160,7 +160,7 @@ ips AS (SELECT client_ip, count(*) AS count, any_value(ip) AS ip FROM rec JOIN p
 SELECT client_ip, (SELECT arg_max(info, len) FROM subnets WHERE (ips.ip >> (32 - len)) << (32 - len) = net) AS info, count FROM ips""",
     "subnet_insert": f"{SUBNETS} SELECT position, cidr, net::VARCHAR AS net, len::VARCHAR AS len, status FROM placed",
     "subnet_remove": f"""{SUBNETS},
-asked AS (SELECT DISTINCT regexp_replace(cidr, '/1([0-9])$', '/2\\1') AS cidr FROM cidrs WHERE position % 3 = 0),
+asked AS (SELECT DISTINCT regexp_replace(cidr, '/1([0-9])$', '/2\\1') AS cidr FROM cidrs WHERE rcode = 'SERVFAIL'),
 split AS (SELECT cidr, regexp_extract(cidr, '^([0-9.]+)/([0-9]+)$', 1) AS ip, try_cast(regexp_extract(cidr, '^([0-9.]+)/([0-9]+)$', 2) AS INTEGER) AS len FROM asked),
 wanted AS (
   SELECT cidr, CASE WHEN ip <> '' AND len BETWEEN 1 AND 32 THEN ((list_reduce(list_transform(string_split(ip, '.'), lambda x: try_cast(x AS BIGINT)), lambda x, y: x * 256 + y) >> (32 - len)) << (32 - len))::BIGINT END AS net,

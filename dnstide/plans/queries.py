@@ -73,9 +73,11 @@ def stream_follow(spark, sf_dir):
 def history_append(spark, sf_dir):
     """Hourly rows appended, appended again, and read back by range."""
     path = history.scratch(spark, "history")
-    rows = hourly(spark, sf_dir)
-    history.append(rows, path)
-    history.append(history.read(spark, path, *FINE[:1], FINE[0][:8] + "999999"), path)
+    rows = stored(hourly(spark, sf_dir))
+    half = F.substring("stamp", 9, 2) < "12"
+    history.append(rows.where(half), path)
+    history.append(rows.where(~half), path)  # later hours of the same days
+    history.append(rows.where(half), path)  # and a job that runs again
     return history.read(spark, path, *COARSE).select("kind", "view", "stamp", "item", "query_num")
 
 
@@ -171,7 +173,7 @@ def _cidrs(spark, sf_dir):
     """A prefix of each line's client: lengths 0 to 34, some without a length, some with letters."""
     lines = logs.accepted_lines(fixture.log_lines(spark, sf_dir))
     size = F.when(F.col("position") % 41 == 0, "").when(F.col("position") % 43 == 0, "/8x").otherwise(F.concat(F.lit("/"), (F.col("position") % 35).cast("string")))
-    return lines.select("position", F.concat("client_ip", size).alias("cidr"), F.concat(F.lit("net"), (F.col("position") % 100).cast("string")).alias("info"))
+    return lines.select("position", "rcode", F.concat("client_ip", size).alias("cidr"), F.concat(F.lit("net"), (F.col("position") % 100).cast("string")).alias("info"))
 
 
 @query
@@ -198,7 +200,7 @@ def subnet_lpm(spark, sf_dir):
 
 
 def _subnets(spark, sf_dir):
-    return stored(lookups.subnet_insert(_cidrs(spark, sf_dir), "position").where("status = 'SUCCEED'").select("net", "len", "info"))
+    return stored(lookups.subnet_table(_cidrs(spark, sf_dir), "position"))
 
 
 @query
@@ -208,8 +210,8 @@ def subnet_insert(spark, sf_dir):
 
 @query
 def subnet_remove(spark, sf_dir):
-    """Prefixes of every third line asked to go, shifted by a bit of the length so that some are absent."""
-    asked = _cidrs(spark, sf_dir).where("position % 3 = 0").select(F.regexp_replace("cidr", "/1(\\d)$", "/2$1").alias("cidr")).distinct()
+    """Prefixes of clients that met a server failure asked to go, changed in their length so that some are absent."""
+    asked = _cidrs(spark, sf_dir).where("rcode = 'SERVFAIL'").select(F.regexp_replace("cidr", "/1(\\d)$", "/2$1").alias("cidr")).distinct()
     kept, status = lookups.subnet_remove(_subnets(spark, sf_dir), asked)
     both = status.select("cidr", "net", "len", "status").unionByName(kept.select(F.lit(None).cast("string").alias("cidr"), "net", "len", F.lit("KEPT").alias("status")))
     return both.select("cidr", F.col("net").cast("string").alias("net"), F.col("len").cast("string").alias("len"), "status")
@@ -220,7 +222,7 @@ def closest_ancestor(spark, sf_dir):
     r = records(spark, sf_dir)
     zones = r.where(F.col("zone").isin("z1.com", "z2.com")).select(F.concat("zone", F.lit(".")).alias("zone")).distinct()
     zones = zones.union(r.where("domain like 'view%'").select(full_name(F.col("domain")).alias("zone")).distinct()).union(r.select(F.regexp_extract("zone", r"([^.]+)$", 1).alias("zone")).distinct().select(F.concat("zone", F.lit(".")).alias("zone")))
-    return lookups.closest_ancestor(r.select(F.col("domain").alias("name")), zones)
+    return lookups.closest_ancestor(r.select(F.col("domain").alias("name")), stored(zones.distinct()))
 
 
 @query
@@ -375,7 +377,10 @@ def daily_rollup(spark, sf_dir):
 
 @query
 def retention(spark, sf_dir):
-    return history.retention(hourly(spark, sf_dir), NOW)
+    path = history.scratch(spark, "history")
+    history.append(hourly(spark, sf_dir), path)
+    history.retention(spark, path, NOW)
+    return history.read(spark, path).select("kind", "view", "stamp", "item", "query_num")
 
 
 def _series(spark, sf_dir):
@@ -411,20 +416,22 @@ def downsample(spark, sf_dir):
 # Set operations
 
 
-def _tables(spark, sf_dir, name):
-    fine = stored(kind(hourly(spark, sf_dir), name))
-    return fine, stored(rollup.daily_rollup(fine))
+def _tables(spark, sf_dir, names):
+    """The fine and the one-day table of each kind."""
+    fine = stored(hourly(spark, sf_dir).where(F.col("kind").isin(*names)))
+    coarse = stored(rollup.daily_rollup(fine))
+    return {k: (kind(fine, k), kind(coarse, k)) for k in names}
 
 
 @query
 def long_topn(spark, sf_dir):
-    parts = [ranges.topn_range(*_tables(spark, sf_dir, k), VIEW, *COARSE, 10).withColumn("kind", F.lit(k)) for k in ("domain", "ip")]
+    parts = [ranges.topn_range(*t, VIEW, *COARSE, 10).withColumn("kind", F.lit(k)) for k, t in _tables(spark, sf_dir, ("domain", "ip")).items()]
     return parts[0].union(parts[1])
 
 
 @query
 def long_property(spark, sf_dir):
-    parts = [ranges.property_range(*_tables(spark, sf_dir, k), VIEW, *COARSE).withColumn("kind", F.lit(k)) for k in ("rcode", "rtype")]
+    parts = [ranges.property_range(*t, VIEW, *COARSE).withColumn("kind", F.lit(k)) for k, t in _tables(spark, sf_dir, ("rcode", "rtype")).items()]
     return parts[0].union(parts[1])
 
 
@@ -464,7 +471,7 @@ def stream_topn(spark, sf_dir):
 
 @query
 def stream_samples(spark, sf_dir):
-    """Hourly rows of the streamed counts, appended to a history table and read back."""
-    out, path = _ran(spark, jobs.stream_counts(_stream(spark, sf_dir))), history.scratch(spark, "history")
-    history.append(jobs.snapshot_rows(jobs.latest(spark, out, "kind", "hour", "key", "name")), path)
+    """Hourly rows that the stream itself writes to a history table, read back."""
+    path = history.scratch(spark, "history")
+    jobs.start_snapshots(jobs.stream_counts(_stream(spark, sf_dir)), history.scratch(spark, "stream"), path, history.scratch(spark, "state"), {"availableNow": True}).awaitTermination()
     return history.read(spark, path).select("kind", "view", "stamp", "item", "query_num")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnstide.functions.names import without_root
+from dnstide.functions.names import full_name, rcode_label, rtype_label, without_root
 from dnstide.functions.stamps import stamp, time_of
-from dnstide.operators.counters import name_counts, rcode_counts, rtype_counts
+from dnstide.operators.counters import keyed
 from dnstide.operators.rates import DAY, HOUR, end_of
 from dnstide.operators.topn import topn
 
@@ -17,21 +15,26 @@ from dnstide.operators.topn import topn
 KINDS = ("domain", "ip", "rcode", "rtype")
 
 
-def hourly_snapshot(records: DataFrame) -> DataFrame:
-    """``kind, view, stamp, item, query_num`` for each hour, stamped with its end: the top domains and clients and all
-    response codes and record types of each key."""
-    timed = records.withColumn("hour", end_of(F.col("ts"), HOUR))
+def named(domain: Column, client: Column, rcode: Column, rtype: Column) -> Column:
+    """The four ``(kind, name)`` of a record."""
+    names = zip(KINDS, (full_name(domain), full_name(client), rcode_label(rcode), rtype_label(rtype)))
+    return F.array(*(F.struct(F.lit(kind).alias("kind"), name.alias("name")) for kind, name in names))
+
 
-    def rows(kind: str, counts: DataFrame, item: Column) -> DataFrame:
-        return counts.select(F.lit(kind).alias("kind"), F.col("key").alias("view"), stamp(F.col("hour")).alias("stamp"), item.alias("item"), F.col("count").alias("query_num"))
+def snapshot_rows(counts: DataFrame) -> DataFrame:
+    """``kind, view, stamp, item, query_num`` of ``counts(kind, hour, key, name, count)``: the top lists. Codes and types
+    are few, so their lists are whole."""
+    item = F.when(F.col("kind") == "ip", without_root(F.col("name"))).otherwise(F.col("name"))
+    lists = topn(counts, None, "kind", "hour")
+    return lists.select("kind", F.col("key").alias("view"), F.col("hour").alias("stamp"), item.alias("item"), F.col("count").alias("query_num"))
 
-    parts = [
-        rows("domain", topn(name_counts(timed, "domain", "hour"), None, "hour"), F.col("name")),
-        rows("ip", topn(name_counts(timed, "client_ip", "hour"), None, "hour"), without_root(F.col("name"))),
-        rows("rcode", rcode_counts(timed, "hour"), F.col("rcode")),
-        rows("rtype", rtype_counts(timed, "hour"), F.col("rtype")),
-    ]
-    return reduce(DataFrame.union, parts)
+
+def hourly_snapshot(records: DataFrame) -> DataFrame:
+    """``kind, view, stamp, item, query_num`` for each hour, stamped with its end: the top domains and clients and all
+    response codes and record types of each key. One pass over the records."""
+    rows = records.select("view", "zone", end_of(F.col("ts"), HOUR).alias("hour"), F.inline(named(*map(F.col, ("domain", "client_ip", "rcode", "rtype")))))
+    counts = keyed(rows.where("name is not null"), "hour", "kind", "name")
+    return snapshot_rows(counts.withColumn("hour", stamp(F.col("hour"))))
 
 
 def daily_rollup(hourly: DataFrame) -> DataFrame:
@@ -39,6 +42,4 @@ def daily_rollup(hourly: DataFrame) -> DataFrame:
     the top domains and clients only."""
     day = stamp(end_of(time_of(F.col("stamp")), DAY))
     sums = hourly.groupBy("kind", F.col("view").alias("key"), day.alias("stamp"), F.col("item").alias("name")).agg(F.sum("query_num").alias("count"))
-    lists = topn(sums.where(F.col("kind").isin("domain", "ip")), None, "kind", "stamp").drop("rank")
-    kept = lists.unionByName(sums.where(~F.col("kind").isin("domain", "ip")))
-    return kept.select("kind", F.col("key").alias("view"), "stamp", F.col("name").alias("item"), F.col("count").alias("query_num"))
+    return topn(sums, None, "kind", "stamp").select("kind", F.col("key").alias("view"), "stamp", F.col("name").alias("item"), F.col("count").alias("query_num"))

@@ -1,4 +1,4 @@
-"""History tables: files by day, sorted by view and stamp, with a fine and a one-day table for each kind."""
+"""History tables: files by day and batch, sorted by view and stamp, with a fine and a one-day table for each kind."""
 
 from __future__ import annotations
 
@@ -15,33 +15,68 @@ KEEP_DAYS = 90
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that driver and executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new place in the folder that driver and executors share. Where none is set, as in tests, a local session makes
+    a temporary one; on a cluster that would be a folder of one machine, so it raises."""
+    base, own = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and own.isDefined():
+        base = own.get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def with_day(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("day", F.substring("stamp", 1, 8))
+def append(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add stamped rows to a table of files by day and batch. A batch that is written again replaces itself and nothing
+    else. Without a name each hour of the stamps is a batch, so that an hour's rows come together."""
+    named = F.substring("stamp", 9, 2) if batch is None else F.lit(batch)
+    days = rows.withColumn("day", F.substring("stamp", 1, 8)).withColumn("batch", named)
+    dealt = days.repartition("day", "batch", F.col("view")).sortWithinPartitions("day", "batch", "view", "stamp")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Write stamped rows; the days that they hold are replaced, so a job that runs again adds nothing twice. Rows of
-    a day must come together."""
-    days = with_day(rows).repartition("day", F.col("view")).sortWithinPartitions("day", "view", "stamp")
-    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.withColumn("day", F.col("day").cast("string")).withColumn("batch", F.col("batch").cast("string"))
 
 
 def read(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Stored rows with ``start <= stamp < end``; only the days between are read."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    rows = rows.withColumn("day", F.col("day").cast("string"))
+    rows = _stored(spark, path)
     if start is not None:
         rows = rows.where((F.col("day") >= start[:8]) & (F.col("stamp") >= start))
     if end is not None:
         rows = rows.where((F.col("day") <= end[:8]) & (F.col("stamp") < end))
-    return rows.drop("day")
+    return rows.drop("day", "batch")
+
+
+def oldest(now: str, days: int = KEEP_DAYS) -> str:
+    """The oldest stamp to keep at the stamp ``now``."""
+    return (bound(now) - timedelta(days=days)).strftime("%Y%m%d%H%M%S")
+
+
+def delete_before(spark: SparkSession, path: str, stamp: str) -> None:
+    """Delete stored rows older than ``stamp``: the folders of whole days, and the day of the stamp is written anew
+    without them. A reader in between may miss that day."""
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = {x.getPath().getName()[4:]: x.getPath() for x in fs.listStatus(root) if x.getPath().getName().startswith("day=")}
+    for day, at in days.items():
+        if day < stamp[:8]:
+            fs.delete(at, True)
+    edge = days.get(stamp[:8])
+    if edge is not None:
+        rows = spark.read.parquet(edge.toString())
+        if not rows.where(F.col("stamp") < stamp).isEmpty():
+            kept = files.Path(root, f"_kept-{uuid.uuid4().hex}")
+            rows.where(F.col("stamp") >= stamp).write.partitionBy("batch").parquet(kept.toString())
+            fs.delete(edge, True)
+            fs.rename(kept, edge)
 
 
-def retention(rows: DataFrame, now: str, days: int = KEEP_DAYS) -> DataFrame:
-    """The rows that are at most ``days`` old at the stamp ``now``."""
-    return rows.where(F.col("stamp") >= (bound(now) - timedelta(days=days)).strftime("%Y%m%d%H%M%S"))
+def retention(spark: SparkSession, path: str, now: str, days: int = KEEP_DAYS) -> None:
+    """Delete the stored rows that are more than ``days`` old at the stamp ``now``."""
+    delete_before(spark, path, oldest(now, days))

@@ -7,34 +7,35 @@ holds a group has its final figure."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dnstide.functions.names import full_name, rcode_label, rtype_label, valid_key
+from dnstide.functions.names import valid_key
 from dnstide.functions.stamps import stamp
 from dnstide.operators.counters import keys_of
 from dnstide.operators.topn import topn
-from dnstide.plans.rollup import KINDS
+from dnstide.plans.rollup import KINDS, named, snapshot_rows
+from dnstide.sources import history
 
 LATE = "10 minutes"
+#: How often a running job looks for new lines.
+POLL = {"processingTime": "1 second"}
 
 
-def follow(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """The lines of all files in the folder, those there and those to come."""
-    return spark.readStream.option("pathGlobFilter", pattern).text(folder)
+def follow(spark: SparkSession, folder: str, pattern: str = "*", since: datetime | None = None) -> DataFrame:
+    """The lines of all files in the folder, those there and those to come; with ``since`` only of files last written
+    then or later, so that a first start may begin at the log's end."""
+    lines = spark.readStream.option("pathGlobFilter", pattern).text(folder)
+    return lines if since is None else lines.where(F.col("_metadata.file_modification_time") >= F.lit(since)).select("value")
 
 
 def stream_counts(records: DataFrame, late: str = LATE) -> DataFrame:
     """``kind, hour, key, name, count`` since the hour mark, for domains, clients, response codes and record types;
     ``hour`` is the end of the hour, at which the counts are flushed."""
-    names = F.array(
-        F.struct(F.lit("domain").alias("kind"), full_name(F.col("domain")).alias("name")),
-        F.struct(F.lit("ip").alias("kind"), full_name(F.col("client_ip")).alias("name")),
-        F.struct(F.lit("rcode").alias("kind"), rcode_label(F.col("rcode")).alias("name")),
-        F.struct(F.lit("rtype").alias("kind"), rtype_label(F.col("rtype")).alias("name")),
-    )
+    names = named(*map(F.col, ("domain", "client_ip", "rcode", "rtype")))
     told = records.withWatermark("ts", late).select("ts", F.explode(keys_of(F.col("view"), F.col("zone"))).alias("key"), names.alias("names"))
     rows = told.where(valid_key(F.col("key"))).select("ts", "key", F.inline("names")).where("name is not null")
     counts = rows.groupBy(F.window("ts", "1 hour").alias("w"), "kind", "key", "name").count()
@@ -48,7 +49,7 @@ def stream_qps(records: DataFrame, late: str = LATE) -> DataFrame:
     return counts.select("key", stamp(F.col("w.end")).alias("stamp"), (F.col("count") / 10.0).alias("qps"))
 
 
-def start(stream: DataFrame, path: str, checkpoint: str, trigger: dict, change: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "update") -> StreamingQuery:
+def start(stream: DataFrame, path: str, checkpoint: str, trigger: dict = POLL, change: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "update") -> StreamingQuery:
     """Write each batch's changed rows, after ``change``, to its own folder under ``path``."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -57,9 +58,11 @@ def start(stream: DataFrame, path: str, checkpoint: str, trigger: dict, change:
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
 
 
-def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    """What start() has written: of each group the row of its latest batch."""
+def latest(spark: SparkSession, path: str, *keys: str, only: Column | None = None) -> DataFrame:
+    """What start() has written: of each group the row of its latest batch; ``only`` where a condition holds."""
     rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in keys if c in ("hour", "stamp")})
+    rows = rows if only is None else rows.where(only)
     rest = [c for c in rows.columns if c not in keys and c != "batch"]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *(F.col("r")[c].alias(c) for c in rest))
 
@@ -69,8 +72,16 @@ def live_topn(counts: DataFrame, n: int | None = None) -> DataFrame:
     return topn(counts.where(F.col("kind").isin(*KINDS[:2])), n, "kind", "hour")
 
 
-def snapshot_rows(counts: DataFrame) -> DataFrame:
-    """The hourly rows ``kind, view, stamp, item, query_num`` of such counts, as the history tables hold them."""
-    lists = live_topn(counts).drop("rank").unionByName(counts.where(~F.col("kind").isin(*KINDS[:2])))
-    item = F.when(F.col("kind") == "ip", F.expr("substring(name, 1, char_length(name) - 1)")).otherwise(F.col("name"))
-    return lists.select("kind", F.col("key").alias("view"), F.col("hour").alias("stamp"), item.alias("item"), F.col("count").alias("query_num"))
+def start_snapshots(counts: DataFrame, path: str, table: str, checkpoint: str, trigger: dict = POLL) -> StreamingQuery:
+    """Run stream_counts into folders under ``path`` and keep the hourly rows in the history ``table``: each batch
+    writes the hours it has changed anew, whole, so that a running stream's history is as late as its last batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("hour").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        hours = [r["hour"] for r in spark.read.parquet(f"{path}/batch={number}").select(F.col("hour").cast("string")).distinct().collect()] if not batch.isEmpty() else []
+        if hours:
+            held = latest(spark, path, "kind", "hour", "key", "name", only=F.col("hour").isin(hours))
+            history.append(snapshot_rows(held), table)
+
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()

@@ -25,6 +25,19 @@ def test_same_network(spark):
         assert r.got == r.want
 
 
+def test_v6(spark):
+    texts = ["::", "::1", "1::", "2001:db8::ff00:42:8329", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "FE80::A", "::ffff:1.2.3.4", "1:2:3:4:5:6:10.0.0.1", "1:2:3:4::5:6:7:8", ":::", "1::2::3", "12345::", "1:2", ":1:2:3:4:5:6:7", "g::", "", "1.2.3.4", "::1.2.3", "1:2:3:4:5:6:7:8:9", "a:" * 5000, None]
+
+    def plain(t):
+        try:
+            return ipaddress.IPv6Address(t).packed if t else None
+        except ValueError:
+            return None
+
+    got = [r[0] and bytes(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "c string").select(ipv6("c")).collect()]
+    assert got == [plain(t) for t in texts]
+
+
 def test_loopback(spark):
     df = spark.createDataFrame([(t,) for t in ("127.0.0.1", "::1", "0:0:0:0:0:0:0:1", "127.0.0.2", "x", None)], "c string").withColumn("p", ipv6("c"))
     assert [r[0] for r in df.select(is_loopback(F.col("c"), F.col("p"))).collect()] == [True, True, True, False, False, False]
@@ -40,6 +53,9 @@ def test_longest_prefix(spark):
 
 
 def test_closest_ancestor(spark):
+    odd = spark.createDataFrame([(n,) for n in ("x.a..com.", ".com.", "a..", "..")], "name string")
+    held = spark.createDataFrame([("a.com.",), (".com.",), (".",)], "zone string")
+    assert {r.name: r.zone for r in lookups.closest_ancestor(odd, held).collect()} == {"x.a..com.": ".com.", ".com.": ".com.", "a..": ".", "..": "."}
     zones = spark.createDataFrame([(".",), ("com.",), ("z1.com.",)], "zone string")
     names = spark.createDataFrame([(n,) for n in ("a.z1.com", "z1.com.", "b.z2.com", "x.org", "n" * 32, ".")], "name string")
     got = {r.name: r.zone for r in lookups.closest_ancestor(names, zones).collect()}

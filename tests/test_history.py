@@ -1,12 +1,17 @@
 """Range answers worked out by hand, stamps, retention, thinning, and stored tables."""
 
+import json
+import os
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from dnstide.functions import stamps
-from dnstide.operators import rates, topn
+from dnstide.operators import rates, reports, topn
 from dnstide.plans import ranges
 from dnstide.sources import history
+from dnstide.streaming import jobs
 
 ROWS = "view string, stamp string, item string, query_num bigint"
 
@@ -63,15 +68,51 @@ def test_downsample(spark, n):
     assert got == (list(range(n)) if n <= 1500 else list(range(0, n - 1, n // 1500))[:1500])
 
 
-def test_append_twice_is_once(spark, tmp_path):
+def test_append_adds_hours_and_replaces_a_batch(spark, tmp_path):
     path = f"file://{tmp_path}/h"
-    rows = table(spark, ("a", "20240101000000", "x", 1), ("a", "20240102000000", "x", 2))
-    history.append(rows, path)
-    history.append(rows.where("stamp < '20240102'"), path)
+    rows = table(spark, ("a", "20240101010000", "x", 1), ("a", "20240101020000", "x", 2), ("a", "20240102000000", "x", 3))
+    for part in ("stamp < '20240101015959'", "stamp > '20240101015959'", "stamp < '20240102'"):
+        history.append(rows.where(part), path)
     assert sorted(pairs(history.read(spark, path).select(rows.columns))) == sorted(pairs(rows))
-    assert pairs(history.read(spark, path, "20240102000000").select("query_num")) == [(2,)]
+    assert pairs(history.read(spark, path, "20240102000000").select("query_num")) == [(3,)]
+    history.append(rows.where("query_num = 1"), path, batch="later")
+    history.append(rows.where("query_num = 1"), path, batch="later")
+    assert sorted(pairs(history.read(spark, path).select("query_num"))) == [(1,), (1,), (2,), (3,)]
 
 
-def test_retention(spark):
-    rows = table(spark, ("a", "20240101000000", "x", 1), ("a", "20240401000000", "x", 2))
-    assert pairs(history.retention(rows, "20240402000000").select("query_num")) == [(2,)]
+def test_retention_deletes_days(spark, tmp_path):
+    path = f"file://{tmp_path}/h"
+    rows = table(spark, ("a", "20240101000000", "x", 1), ("a", "20240102230000", "x", 2), ("a", "20240103050000", "x", 3), ("a", "20240103070000", "x", 4), ("b", "20240401000000", "x", 5))
+    history.append(rows, path)
+    history.retention(spark, path, "20240402060000")
+    assert sorted(pairs(history.read(spark, path).select("query_num"))) == [(4,), (5,)]
+    assert sorted(x for x in os.listdir(tmp_path / "h") if x.startswith("day")) == ["day=20240103", "day=20240401"]
+    history.append(table(spark, ("b", "20240401010000", "x", 6)), path)
+    assert sorted(pairs(history.read(spark, path).select("query_num"))) == [(4,), (5,), (6,)]
+
+
+def test_report_json_is_json(spark):
+    odd = 'a"b\\c\td\ne\x01'
+    ranked = spark.createDataFrame([("k", odd, 3, 1)], "key string, name string, count bigint, rank int")
+    assert json.loads(reports.list_json(ranked).first().body) == [[odd, 3]]
+    series = spark.range(4000).select(F.lit("k").alias("key"), F.format_string("%014d", "id").alias("stamp"), "id").withColumnRenamed("id", "value")
+    assert len(json.loads(reports.series_json(series).first().body)) == 1500
+
+
+def test_ticks_are_filled(spark):
+    qps = spark.createDataFrame([("k", "20240101000010", 0.5), ("k", "20240101000100", 0.2)], "key string, stamp string, qps double")
+    got = sorted(pairs(rates.fill_ticks(qps, "20240101000000", "20240101000040")))
+    assert got == [("k", f"202401010000{s}", 0.5 if s == "10" else 0.0) for s in ("00", "10", "20", "30")]
+    assert pairs(rates.fill_ticks(qps, "20240101000000", "20240101000000")) == []
+
+
+def test_follow_from_the_end(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "old").write_text("old line\n")
+    os.utime(tmp_path / "log" / "old", (1e9, 1e9))
+    (tmp_path / "log" / "new").write_text("new line\n")
+    for since, want in ((None, 2), (datetime(2020, 1, 1), 1)):
+        out = f"file://{tmp_path}/out{want}"
+        lines = jobs.follow(spark, f"file://{tmp_path}/log", since=since).withColumnRenamed("value", "key").groupBy("key").count()
+        jobs.start(lines, out, f"file://{tmp_path}/state{want}", {"availableNow": True}).awaitTermination()
+        assert jobs.latest(spark, out, "key").count() == want
