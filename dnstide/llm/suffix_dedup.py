@@ -25,6 +25,8 @@ from dnstide.llm.shared import settle, spread
 
 #: Bytes of an anchor.
 GRAM = 32
+#: Leading bytes by which suffixes are range-partitioned, before their anchors.
+LEAD = 4
 #: Bytes that a task works on at once.
 BLOCK = 1 << 20
 #: Occurrences of an anchor in one bucket.
@@ -129,7 +131,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     """The same, with compressed texts, for a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        squeeze = zstandard.ZstdCompressor(level=6, write_content_size=True)
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([squeeze.compress(x.as_buffer()) for x in b.column(2)], pa.binary())], names=["doc_id", "text_hash", "z"])
 
@@ -167,7 +169,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 salt = (b.column(4)[row].as_py() + start) % many
                 same = pa.array(np.full(n, row))
                 yield pa.record_batch(
-                    [b.column(0).take(same), b.column(1).take(same), pa.array(anchor[at : at + 4000]), pa.array(salt), pa.array(many), pa.array(first), pa.array(start - first), pa.array([text[s : s + 8] for s in start.tolist()], pa.binary()), pa.array([text[f : x + length] for f, x in zip(first.tolist(), last.tolist())], pa.binary())],
+                    [b.column(0).take(same), b.column(1).take(same), pa.array(anchor[at : at + 4000]), pa.array(salt), pa.array(many), pa.array(first), pa.array(start - first), pa.array([text[s : s + LEAD] for s in start.tolist()], pa.binary()), pa.array([text[f : x + length] for f, x in zip(first.tolist(), last.tolist())], pa.binary())],
                     names=["doc_id", "text_hash", "anchor", "salt", "salts", "first", "at", "lead", "bytes"],
                 )
 
