@@ -266,6 +266,29 @@ def test_near_dedup_is_jaccard(spark, sf_dir, hot):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("block", [200, 1000, 1 << 20])
+def test_blocks_link_what_all_pairs_do(spark, block):
+    """Two buckets of alike sets, in chunks of some sets or one: the components of all pairs, from no more links than needed."""
+    rng = np.random.default_rng(5)
+    cores = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(3)]
+    sets = {i: np.unique(np.concatenate([rng.choice(cores[i % 3], 60 - k, replace=False), rng.integers(0, 1 << 62, k).astype(np.uint64)])) for i in range(90) for k in [int(rng.integers(2, 12))]}
+    sets |= {90: np.array([7], np.uint64), 91: np.array([7], np.uint64)}
+    start = {i: 3 if i in (3, 6, 9) else i for i in sets}
+    own = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "set long, own binary")
+    members = spark.createDataFrame([(i % 2, 5, i, len(x), start[i]) for i, x in sets.items()] + [(3, 5, i, len(sets[i]), start[i]) for i in (90, 91)], "t int, key long, set long, n long, component long")
+
+    def alike(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return start[a] == start[b] or ((a % 2 == b % 2 or min(a, b) >= 90) and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both))
+
+    got = [(r.a, r.b) for r in near_dedup.block_links(members, own, 0.8, block).collect()]
+    assert all(alike(a, b) and start[a] != start[b] for a, b in got) and len(got) > 20
+    joined = {*got, (3, 6), (6, 9)}
+    assert components(sets, lambda a, b: (a, b) in joined or (b, a) in joined) == components(sets, alike)
+    if block > 1000:
+        assert len(got) < len(sets)
+
+
 def test_near_dedup_of_rows_without_id(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "A b c d e f g"), (None, "another text of a few words"), (1, "a text with an id, kept"), (None, "a text with an id, kept"), (2, "one"), (2, "two"), (2, "two"), (None, None), (None, "")]
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
