@@ -111,3 +111,80 @@ reach(a, b) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT reach.a, links.b
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
 FROM vectors JOIN reach ON a = vec_id GROUP BY vec_id
 """
+
+
+FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS low FROM texts GROUP BY text),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS fails
+  FROM texts JOIN firsts USING (text) LEFT JOIN known USING (doc_id)
+),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f
+),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, '[' || filter_order[1:step - 1] || '_]' AS before
+  FROM orders, range(1, 6) t(step)
+),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY 1, 2),
+judged AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS hit, regexp_matches(fails, before) AS gone FROM cells, steps
+),
+counted AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = f), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain integer k-means on each part, a pair of statements a round."""
+    away = "list_sum(list_transform(list_zip(x, c), lambda z: CAST(z[1] - z[2] AS HUGEINT) * (z[1] - z[2])))"
+
+    def assigned(i: int) -> str:
+        return f"""near{i} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, min({away} * {entries} + e) AS best FROM cut JOIN book{i} USING (p) GROUP BY 1, 2, 3, 4
+)"""
+
+    def refined(i: int) -> str:
+        return f"""sums{i} AS (
+  SELECT p, best % {entries} AS e, j, sum(x[j]) AS s, count(*) AS n FROM near{i}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM cut) + 1)) AS j) GROUP BY 1, 2, 3
+),
+means{i} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM sums{i} GROUP BY 1, 2),
+book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN means{i} m USING (p, e))"""
+
+    steps = ",\n".join(f"{assigned(i)},\n{refined(i)}" for i in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cut AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) t(p)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+),
+{steps},
+{assigned(rounds)},
+coded AS (
+  SELECT vec_id, label, string_agg(lpad(to_hex(best % {entries}), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM near{rounds} GROUP BY 1, 2
+),
+spelled AS (SELECT string_agg(array_to_string(c, ','), ',' ORDER BY p, e) AS books FROM book{rounds})
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha256(books) AS codebooks_sha256 FROM coded, spelled
+"""

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnstide.llm import oracle
+from dnstide.llm.byte_bpe import bpe_decode, bpe_encode
 from dnstide.llm.decontaminate import contamination
 from dnstide.llm.embedding_dedup import embedding_dedup
+from dnstide.llm.filter_audit import filter_masks, interactions
 from dnstide.llm.langid import held_out, identify, train
 from dnstide.llm.line_dedup import line_dedup
 from dnstide.llm.packing import pack
@@ -18,6 +20,7 @@ from dnstide.llm.shared import table
 from dnstide.llm.simhash import hex16, simhash_components
 from dnstide.llm.suffix_dedup import substring_dedup
 from dnstide.llm.url_filter import SOFT, SOFT_LIMIT, STRICT, url_filter
+from dnstide.llm.vector_codes import compress, hex_code
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +75,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_suffix_dedup, op4_pii_surrogates, op5_secret_scan, op6_embedding_dedup, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(filter_masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    found = bpe_decode(encoded, ranks, public_tokenizers.PATTERN)
+    digest = F.sha2(F.array_join("ids", ","), 256)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", hex_code(F.col("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_suffix_dedup, op4_pii_surrogates, op5_secret_scan, op6_embedding_dedup, op7_language_id, op8_line_dedup, op9_url_filter, op10_simhash, op11_filter_audit, op12_byte_bpe, op13_vector_codes)}
 
 ORACLES = {
     "op1_decontaminate": oracle.CONTAMINATION,
@@ -80,4 +100,6 @@ ORACLES = {
     "op6_embedding_dedup": oracle.EMBEDDING_DEDUP,
     "op8_line_dedup": oracle.LINE_DEDUP,
     "op9_url_filter": oracle.url_filter_sql(STRICT, SOFT, SOFT_LIMIT),
+    "op11_filter_audit": oracle.FILTER_AUDIT,
+    "op13_vector_codes": oracle.vector_codes_sql(),
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,54 @@ def worker_memory(key: tuple, make: Callable):
     return _held[key]
 
 
+def runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after another."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+class KnownIds:
+    """The token ids of words, in bounded memory: ``words`` of them, ``chars`` characters."""
+
+    def __init__(self, words: int, keep: int, chars: int):
+        self.words, self.keep, self.chars = words, keep, chars
+        self.places: dict = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.spans = np.zeros((1 << 12, 2), np.int64)  # by word: place and number of ids in flat
+        self.held = 0
+
+    def full(self, new: Iterable) -> bool:
+        """Whether there is no room for ``new`` words."""
+        new = list(new)
+        return bool(self.places) and (len(self.places) + len(new) > self.words or self.held + sum(map(len, new)) > self.chars)
+
+    def forget(self) -> None:
+        """Keep the first words only, as frequent ones come early."""
+        self.places = dict(islice(self.places.items(), self.keep))
+        self.held = sum(map(len, self.places))
+        if self.held > self.chars // 2:
+            self.places, self.held = {}, 0
+        self.used = int(self.spans[len(self.places) - 1].sum()) if self.places else 0
+
+    def add(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the ids of words that aren't known."""
+        n, used = len(self.places), self.used
+        while n + len(words) > len(self.spans):
+            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.spans[n : n + len(words), 0] = used + np.cumsum(sizes) - sizes
+        self.spans[n : n + len(words), 1] = sizes
+        self.places.update(zip(words, range(n, n + len(words))))
+        self.used += len(ids)
+        self.held += sum(map(len, words))
+
+    def join(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after another, and how many each has."""
+        starts, sizes = self.spans[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))].T
+        return runs(self.flat, starts, sizes), sizes
+
+
 def settled_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
 
