@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 
 
 def ipv4(c: Column) -> Column:
     """A dotted quad as a number; null for anything else. Leading zeros aren't read."""
-    parts = F.split(c, r"\.")
-    good = c.rlike(_V4) & F.forall(parts, lambda x: (F.char_length(x) <= 3) & (F.try_to_number(x, F.lit("999")) <= 255) & ((F.char_length(x) == 1) | ~x.startswith("0")))
-    return F.when(good, F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n * 256 + x.cast("bigint")))
+    return F.when(c.rlike(_V4), F.aggregate(F.split(c, r"\."), F.lit(0).cast("bigint"), lambda n, x: n * 256 + x.cast("bigint")))
 
 
 def ipv6(c: Column | str) -> Column:

@@ -64,11 +64,35 @@ def shown_rate(value: Column) -> Column:
     return F.when(value < 0.1, 1.0).otherwise(value)
 
 
+def _both_names(records: DataFrame, *by: str) -> DataFrame:
+    """``view, zone, *by, kind, name``: of each record its domain and its client, by one reading of the log."""
+    kinds = (("domains", "domain"), ("clients", "client_ip"))
+    names = F.array(*(F.struct(F.lit(kind).alias("kind"), full_name(F.col(c)).alias("name")) for kind, c in kinds))
+    return records.select("view", "zone", *by, F.inline(names)).where("name is not null")
+
+
 def distinct_names(records: DataFrame) -> DataFrame:
     """``key, domains, clients``: numbers of different names held."""
-    domains = name_counts(records, "domain").groupBy("key").agg(F.count("*").alias("domains"))
-    clients = name_counts(records, "client_ip").groupBy("key").agg(F.count("*").alias("clients"))
-    return domains.join(clients, "key", "full").select("key", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("domains", "clients")))
+    held = keyed(_both_names(records), "kind", "name")
+    return held.groupBy("key").agg(*(F.count_if(F.col("kind") == kind).alias(kind) for kind in ("domains", "clients")))
+
+
+#: Binary logarithm of a sketch's registers: a relative standard error of 1.04 / 2 ** (SKETCH / 2), 1.6 %.
+SKETCH = 12
+
+
+def distinct_sketches(records: DataFrame, *by: str) -> DataFrame:
+    """``key, *by, kind, sketch``: HyperLogLog sketches of the different domains and clients. Sketches of views are
+    made first and united under the ``*`` keys."""
+    once = _both_names(records, *by).groupBy("view", "zone", *by, "kind").agg(F.hll_sketch_agg("name", SKETCH).alias("sketch"))
+    dealt = once.select(F.explode(keys_of(F.col("view"), F.col("zone"))).alias("key"), *by, "kind", "sketch").where(valid_key(F.col("key")))
+    return dealt.groupBy("key", *by, "kind").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def distinct_estimates(sketches: DataFrame) -> DataFrame:
+    """``key, kind, estimate``: about how many different names the united sketches of a key have met, of any hours and
+    without the log; within 5 % (three standard errors) nearly always, and exact where they are few."""
+    return sketches.groupBy("key", "kind").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
 
 
 def total_views(records: DataFrame) -> DataFrame:

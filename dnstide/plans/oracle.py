@@ -229,3 +229,18 @@ own AS (SELECT * FROM five WHERE ethn = 'eth0' AND stamp >= '{FINE[0]}' AND stam
     "stream_topn": f"{HOURLY} SELECT kind, stamp AS hour, key, name, n AS count, CAST(r AS INTEGER) AS rank FROM ranked WHERE r <= 10 AND kind IN ('domain', 'ip')",
     "stream_samples": f"{HOURLY} SELECT * FROM hourly",
 }
+
+#: What a stream with a watermark of ten minutes has given at the log's end.
+_PASSED = f"<= (SELECT {_STAMP.format("max(ts) - INTERVAL 10 MINUTE")} FROM rec)"
+ORACLES |= {
+    "subnet_ranges": ORACLES["subnet_lpm"],
+    "prefix_ancestor": ORACLES["closest_ancestor"],
+    "stream_tail": _REASONS,
+    "distinct_range": f"""{BASE},
+spans AS (SELECT * FROM bucketed WHERE {_HOUR} >= '{COARSE[0]}' AND {_HOUR} < '{COARSE[1]}')
+SELECT key, 'domains' AS kind, count(DISTINCT dname) AS names, true AS within FROM spans WHERE dname IS NOT NULL GROUP BY key
+UNION ALL SELECT key, 'clients', count(DISTINCT iname), true FROM spans WHERE iname IS NOT NULL GROUP BY key""",
+    "stream_five_minutes": f"{ORACLES['five_minute_samples']} WHERE stamp {_PASSED}",
+    "stream_half_hours": f"{ORACLES['half_hour_mean']} WHERE stamp {_PASSED}",
+    "stream_top_lists": ORACLES["stream_topn"],
+}

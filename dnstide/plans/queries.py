@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from dnstide.functions.addresses import ipv4, ipv6, is_loopback, same_network
 from dnstide.functions.names import RCODES, RTYPES, rcode_label, rtype_label, full_name, valid_key, without_root
 from dnstide.functions.stamps import stamp, whole_point
-from dnstide.operators import counters, lookups, rates, reports, requests
+from dnstide.operators import counters, lookups, nested, rates, reports, requests
 from dnstide.operators import topn as ranks
 from dnstide.plans import ranges, rollup
 from dnstide.sources import fixture, history, logs
-from dnstide.streaming import jobs
+from dnstide.sources.tail import tail
+from dnstide.streaming import jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,9 +76,11 @@ def history_append(spark, sf_dir):
     path = history.scratch(spark, "history")
     rows = stored(hourly(spark, sf_dir))
     half = F.substring("stamp", 9, 2) < "12"
-    history.append(rows.where(half), path)
-    history.append(rows.where(~half), path)  # later hours of the same days
-    history.append(rows.where(half), path)  # and a job that runs again
+    history.append(rows.where(half), path, batch="first half")
+    for name in rollup.KINDS:  # later hours of the same days, each kind by itself
+        history.append(rows.where(~half & (F.col("kind") == name)), path)
+    history.append(rows.where(half), path, batch="first half")  # a job that runs again
+    history.compact(spark, path, COARSE[1])
     return history.read(spark, path, *COARSE).select("kind", "view", "stamp", "item", "query_num")
 
 
@@ -220,9 +223,13 @@ def subnet_remove(spark, sf_dir):
 @query
 def closest_ancestor(spark, sf_dir):
     r = records(spark, sf_dir)
+    return lookups.closest_ancestor(r.select(F.col("domain").alias("name")), _zones(r))
+
+
+def _zones(r):
     zones = r.where(F.col("zone").isin("z1.com", "z2.com")).select(F.concat("zone", F.lit(".")).alias("zone")).distinct()
     zones = zones.union(r.where("domain like 'view%'").select(full_name(F.col("domain")).alias("zone")).distinct()).union(r.select(F.regexp_extract("zone", r"([^.]+)$", 1).alias("zone")).distinct().select(F.concat("zone", F.lit(".")).alias("zone")))
-    return lookups.closest_ancestor(r.select(F.col("domain").alias("name")), stored(zones.distinct()))
+    return stored(zones.distinct())
 
 
 @query
@@ -233,6 +240,19 @@ def exact_lookup(spark, sf_dir):
     return found.select("key", "name", F.col("count").cast("string").alias("count"))
 
 
+@query
+def subnet_ranges(spark, sf_dir):
+    """The longest prefixes again, by disjoint ranges in one sorted pass."""
+    return nested.longest_prefix(records(spark, sf_dir).groupBy("client_ip").count(), _subnets(spark, sf_dir))
+
+
+@query
+def prefix_ancestor(spark, sf_dir):
+    """The closest ancestors again, by names in the order of their labels from the last."""
+    r = records(spark, sf_dir)
+    return nested.prefix_ancestor(r.select(F.col("domain").alias("name")), _zones(r))
+
+
 @query
 def live_series_fill(spark, sf_dir):
     return rates.live_series_fill(records(spark, sf_dir))
@@ -276,6 +296,17 @@ def distinct_names(spark, sf_dir):
     return counters.distinct_names(records(spark, sf_dir))
 
 
+@query
+def distinct_range(spark, sf_dir):
+    """Different names of a range of hours by sketches kept by the hour, beside their exact number."""
+    hours = stored(records(spark, sf_dir).withColumn("stamp", stamp(rates.end_of(F.col("ts"), rates.HOUR))))
+    inside = (F.col("stamp") >= COARSE[0]) & (F.col("stamp") < COARSE[1])
+    estimates = counters.distinct_estimates(stored(counters.distinct_sketches(hours, "stamp")).where(inside))
+    exact = counters.distinct_names(hours.where(inside)).select("key", F.expr("stack(2, 'domains', domains, 'clients', clients) AS (kind, names)"))
+    near = F.abs(F.col("estimate") - F.col("names")) <= 0.05 * F.col("names")
+    return exact.where("names > 0").join(estimates, ["key", "kind"], "full").select("key", "kind", "names", F.coalesce(near, F.lit(False)).alias("within"))
+
+
 @query
 def property_totals(spark, sf_dir):
     h = hourly(spark, sf_dir)
@@ -377,9 +408,11 @@ def daily_rollup(spark, sf_dir):
 
 @query
 def retention(spark, sf_dir):
-    path = history.scratch(spark, "history")
-    history.append(hourly(spark, sf_dir), path)
+    path, hour = history.scratch(spark, "history"), F.substring("stamp", 9, 2)
+    rows = stored(hourly(spark, sf_dir))
+    history.append(rows, path, hour)
     history.retention(spark, path, NOW)
+    history.append(rows.where(F.col("stamp") == history.oldest(NOW)), path, hour)  # an hour of the day at the bound, written again
     return history.read(spark, path).select("kind", "view", "stamp", "item", "query_num")
 
 
@@ -475,3 +508,50 @@ def stream_samples(spark, sf_dir):
     path = history.scratch(spark, "history")
     jobs.start_snapshots(jobs.stream_counts(_stream(spark, sf_dir)), history.scratch(spark, "stream"), path, history.scratch(spark, "state"), {"availableNow": True}).awaitTermination()
     return history.read(spark, path).select("kind", "view", "stamp", "item", "query_num")
+
+
+@query
+def stream_tail(spark, sf_dir):
+    """The log in files of a folder, followed as files that are still written, by byte."""
+    folder, out = history.scratch(spark, "log"), history.scratch(spark, "tailed")
+    fixture.log_lines(spark, sf_dir).select("value").write.text(folder)
+    counts = logs.rejected_counts(tail(spark, folder, "part-*"))
+    jobs.start(counts, out, history.scratch(spark, "state"), {"availableNow": True}).awaitTermination()
+    return jobs.latest(spark, out, "reason")
+
+
+def _in_order(spark, sf_dir):
+    """The records as a stream of several batches in the order of time."""
+    live.use_rocksdb(spark)
+    folder, r = history.scratch(spark, "log"), records(spark, sf_dir)
+    for first, last in ((1, 10), (11, 20), (21, 31)):
+        r.where(F.dayofmonth("ts").between(first, last)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(r.schema).parquet(folder)
+
+
+def _appended(spark, stream, mode="append"):
+    out = history.scratch(spark, "stream")
+    jobs.start(stream, out, history.scratch(spark, "state"), {"availableNow": True}, mode=mode).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def stream_five_minutes(spark, sf_dir):
+    """Five-minute samples that the stream gives as its watermark passes them."""
+    found = _appended(spark, live.stream_samples(_in_order(spark, sf_dir)))
+    return found.select("key", F.col("stamp").cast("string").alias("stamp"), "qps", F.round("success_rate", 6).alias("success_rate"))
+
+
+@query
+def stream_half_hours(spark, sf_dir):
+    """Half-hour means of those samples, in the same stream."""
+    found = _appended(spark, live.stream_half_hours(_in_order(spark, sf_dir)))
+    return found.select("key", F.col("stamp").cast("string").alias("stamp"), F.round("qps", 6).alias("qps"), F.round("success_rate", 6).alias("success_rate"))
+
+
+@query
+def stream_top_lists(spark, sf_dir):
+    """Top lists as the stream's state holds them after its last batch."""
+    found = _appended(spark, live.stream_topn(_in_order(spark, sf_dir), 10), "update")
+    last = found.groupBy("kind", "hour", "key").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["kind", "hour", "key", "batch"]).select("kind", F.col("hour").cast("string").alias("hour"), "key", "name", "count", "rank")

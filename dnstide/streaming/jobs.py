@@ -19,6 +19,7 @@ from dnstide.operators.counters import keys_of
 from dnstide.operators.topn import topn
 from dnstide.plans.rollup import KINDS, named, snapshot_rows
 from dnstide.sources import history
+from dnstide.sources.files import Folder
 
 LATE = "10 minutes"
 #: How often a running job looks for new lines.
@@ -62,7 +63,10 @@ def latest(spark: SparkSession, path: str, *keys: str, only: Column | None = Non
     """What start() has written: of each group the row of its latest batch; ``only`` where a condition holds."""
     rows = spark.read.option("basePath", path).parquet(path)
     rows = rows.withColumns({c: F.col(c).cast("string") for c in keys if c in ("hour", "stamp")})
-    rows = rows if only is None else rows.where(only)
+    return _latest_of(rows if only is None else rows.where(only), *keys)
+
+
+def _latest_of(rows: DataFrame, *keys: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys and c != "batch"]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *(F.col("r")[c].alias(c) for c in rest))
 
@@ -72,16 +76,48 @@ def live_topn(counts: DataFrame, n: int | None = None) -> DataFrame:
     return topn(counts.where(F.col("kind").isin(*KINDS[:2])), n, "kind", "hour")
 
 
-def start_snapshots(counts: DataFrame, path: str, table: str, checkpoint: str, trigger: dict = POLL) -> StreamingQuery:
-    """Run stream_counts into folders under ``path`` and keep the hourly rows in the history ``table``: each batch
-    writes the hours it has changed anew, whole, so that a running stream's history is as late as its last batch."""
+#: Batches of an hour that lie side by side before they are laid together.
+DELTAS = 16
+
+
+def start_snapshots(counts: DataFrame, path: str, table: str, checkpoint: str, trigger: dict = POLL, deltas: int = DELTAS) -> StreamingQuery:
+    """Run stream_counts into folders by hour and batch under ``path`` and keep the hourly rows in the history
+    ``table``: each batch writes the hours it has changed anew, whole, so that a running stream's history is as late as
+    its last batch. Only those hours are read, and an hour is its laid-together counts and at most ``deltas`` batches.
+
+    A batch's folder is ``<number>-0``; ``<number>-1`` holds all up to that number, and takes their place: a batch that
+    runs again writes its own folder only.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("hour").parquet(f"{path}/batch={number}")
-        spark = batch.sparkSession
-        hours = [r["hour"] for r in spark.read.parquet(f"{path}/batch={number}").select(F.col("hour").cast("string")).distinct().collect()] if not batch.isEmpty() else []
-        if hours:
-            held = latest(spark, path, "kind", "hour", "key", "name", only=F.col("hour").isin(hours))
-            history.append(snapshot_rows(held), table)
+        spark, name = batch.sparkSession, f"{number:012d}-0"
+        batch.withColumn("batch", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+        root = Folder(spark, path)
+        changed = [x for x in root.names() if x.startswith("hour=") and root.of(x).of(f"batch={name}").exists()]
+        for hour in changed:
+            older = [x for x in root.of(hour).names() if x.startswith("batch=") and x < f"batch={name}"]
+            if len(older) > deltas:
+                _lay_together(spark, root, hour, older, f"batch={number - 1:012d}-1")
+        if changed:
+            held = _latest_of(_read_hours(spark, root, changed), "kind", "hour", "key", "name")
+            history.append(snapshot_rows(held), table, F.concat(F.lit("hour-"), "stamp"))
 
     return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
+
+
+def _read_hours(spark: SparkSession, root: Folder, hours: list[str]) -> DataFrame:
+    rows = spark.read.option("basePath", root.path)
+    return rows.schema("kind string, key string, name string, count bigint, hour string, batch string").parquet(*(root.of(h).path for h in hours))
+
+
+def _lay_together(spark: SparkSession, root: Folder, hour: str, older: list[str], name: str) -> None:
+    """One folder of the latest counts in the place of an hour's older ones. They go last: beside it they say nothing
+    new."""
+    if not root.of(hour).of(name).exists():
+        rows = _read_hours(spark, root, [hour]).where(F.concat(F.lit("batch="), "batch").isin(older))
+        whole = root.of(f"_whole.{hour}.{name}")
+        _latest_of(rows, "kind", "hour", "key", "name").drop("hour").write.mode("overwrite").parquet(whole.path)
+        whole.move(root.of(hour).of(name))
+    for x in older:
+        if x != name:
+            root.of(hour).of(x).delete()

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from dnstide.functions import stamps
 from dnstide.operators import rates, reports, topn
-from dnstide.plans import ranges
-from dnstide.sources import history
+from dnstide.plans import ranges, rollup
+from dnstide.sources import fixture, history, logs
 from dnstide.streaming import jobs
 
 ROWS = "view string, stamp string, item string, query_num bigint"
@@ -68,10 +68,10 @@ def test_downsample(spark, n):
     assert got == (list(range(n)) if n <= 1500 else list(range(0, n - 1, n // 1500))[:1500])
 
 
-def test_append_adds_hours_and_replaces_a_batch(spark, tmp_path):
+def test_append_adds_and_replaces_a_batch(spark, tmp_path):
     path = f"file://{tmp_path}/h"
     rows = table(spark, ("a", "20240101010000", "x", 1), ("a", "20240101020000", "x", 2), ("a", "20240102000000", "x", 3))
-    for part in ("stamp < '20240101015959'", "stamp > '20240101015959'", "stamp < '20240102'"):
+    for part in ("stamp < '20240101015959'", "stamp > '20240101015959'"):
         history.append(rows.where(part), path)
     assert sorted(pairs(history.read(spark, path).select(rows.columns))) == sorted(pairs(rows))
     assert pairs(history.read(spark, path, "20240102000000").select("query_num")) == [(3,)]
@@ -80,6 +80,64 @@ def test_append_adds_hours_and_replaces_a_batch(spark, tmp_path):
     assert sorted(pairs(history.read(spark, path).select("query_num"))) == [(1,), (1,), (2,), (3,)]
 
 
+def test_appends_of_five_minutes_and_of_kinds_stay(spark, tmp_path):
+    """Rows of one hour that come one after another, and kinds of one hour, all stay; named ones replace themselves."""
+    path, own = f"file://{tmp_path}/h", lambda: sorted(r.query_num for r in history.read(spark, path).collect())
+    for minute, n in (("05", 1), ("10", 2), ("15", 3)):
+        history.append(table(spark, ("a", f"2024010101{minute}00", "x", n)), path)
+    for kind, n in (("domain", 4), ("ip", 5)):
+        history.append(table(spark, ("a", "20240101020000", kind, n)), path)
+    assert own() == [1, 2, 3, 4, 5]
+    history.compact(spark, path)
+    assert own() == [1, 2, 3, 4, 5] and len([x for x in os.listdir(tmp_path / "h" / "day=20240101") if x.startswith("batch")]) == 1
+    history.append(table(spark, ("a", "20240101030000", "x", 6), ("a", "20240102030000", "x", 7)), path, batch="02")
+    history.append(table(spark, ("a", "20240102030000", "x", 8)), path, batch="02")  # the rerun has no row of the first day
+    history.compact(spark, path)
+    assert own() == [1, 2, 3, 4, 5, 8]
+    history.append(table(spark), path, batch="02")
+    history.append(table(spark), path)
+    assert own() == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError):
+        history.append(table(spark), path, batch="rows-1")
+
+
+def test_rerun_after_retention(spark, tmp_path):
+    """The day at the bound keeps its batch names, so that an hour written again replaces itself."""
+    path, own = f"file://{tmp_path}/h", lambda: sorted((r.stamp, r.query_num) for r in history.read(spark, path).collect())
+    rows = table(spark, *(("a", f"202401010{h}0000", "x", h) for h in range(1, 6)))
+    history.append(rows, path, F.substring("stamp", 9, 2))
+    history.delete_before(spark, path, "20240101030000")
+    history.append(rows.where("query_num = 3"), path, F.substring("stamp", 9, 2))
+    history.append(rows.where("query_num = 2").withColumn("stamp", F.lit("20240101033000")), path, batch="02")
+    assert own() == [("20240101030000", 3), ("20240101033000", 2), ("20240101040000", 4), ("20240101050000", 5)]
+    assert sorted(x for x in os.listdir(tmp_path / "h" / "day=20240101") if x.startswith("batch")) == ["batch=02", "batch=03", "batch=04", "batch=05"]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_writer_that_stopped(spark, tmp_path, whole):
+    """Stopped between its two renames, or before its new rows were whole: the next writer finds the day's rows."""
+    path = f"file://{tmp_path}/h"
+    history.append(table(spark, ("a", "20240101010000", "x", 1)), path)
+    os.rename(tmp_path / "h" / "day=20240101", tmp_path / "h" / "_old.day=20240101.7")
+    if whole:
+        table(spark, ("a", "20240101010000", "x", 2)).withColumn("batch", F.lit("b")).write.partitionBy("batch").parquet(f"{path}/_day.day=20240101.7")
+    history.append(table(spark, ("a", "20240102010000", "x", 3)), path)
+    assert sorted(r.query_num for r in history.read(spark, path).collect()) == [2 if whole else 1, 3]
+    assert not [x for x in os.listdir(tmp_path / "h") if x.startswith("_") and x != "_SUCCESS"]
+
+
+def test_snapshots_lay_batches_together(spark, sf_dir, tmp_path):
+    """Many batches of the same hours: few folders stay, and the rows are those of the batch job."""
+    records = logs.accepted(fixture.log_lines(spark, sf_dir)).where(F.dayofmonth("ts") < 3)
+    at = f"file://{tmp_path}/log"
+    records.repartition(8, "client_ip").write.parquet(at)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    jobs.start_snapshots(jobs.stream_counts(stream, "30 days"), f"file://{tmp_path}/out", f"file://{tmp_path}/h", f"file://{tmp_path}/state", {"availableNow": True}, deltas=2).awaitTermination()
+    columns = ("kind", "view", "stamp", "item", "query_num")
+    assert sorted(pairs(history.read(spark, f"file://{tmp_path}/h").select(*columns))) == sorted(pairs(rollup.hourly_snapshot(records).select(*columns)))
+    assert max(len([x for x in os.listdir(tmp_path / "out" / h) if x.startswith("batch")]) for h in os.listdir(tmp_path / "out") if h.startswith("hour")) <= 4
+
+
 def test_retention_deletes_days(spark, tmp_path):
     path = f"file://{tmp_path}/h"
     rows = table(spark, ("a", "20240101000000", "x", 1), ("a", "20240102230000", "x", 2), ("a", "20240103050000", "x", 3), ("a", "20240103070000", "x", 4), ("b", "20240401000000", "x", 5))
