@@ -15,7 +15,6 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
 from collections.abc import Generator, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dnstide.llm.shared import worker_memory
+from dnstide.llm.shared import KnownIds, worker_memory
 
 #: Tokens that a task holds before it packs what it has; of those that fill no window it keeps at most a half.
 BLOCK_TOKENS = 4_000_000
 #: Distinct words whose ids a worker remembers, and how many of the first it keeps when there are more: frequent words
-#: come early. New words that are encoded together; bytes of text encoded in one go.
-CACHE_WORDS, KEEP_WORDS, GROUP, GO_BYTES = 600_000, 300_000, 64, 1 << 20
+#: come early; bytes of words at most. New words that are encoded together; bytes of text encoded in one go.
+CACHE_WORDS, KEEP_WORDS, CACHE_BYTES, GROUP, GO_BYTES = 600_000, 300_000, 64 << 20, 64, 1 << 20
 #: After a letter or digit these are a token run of their own, whatever the word.
 MARKS = b".,;:!?#$%&*|"
 
@@ -40,45 +39,20 @@ class WordTokenizer:
     bounded memory of words."""
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
-        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.spans = np.zeros((1 << 12, 2), np.int64)  # by word: place and number of ids in flat
-
-    def _forget(self) -> None:
-        self.known = dict(islice(self.known.items(), KEEP_WORDS))
-        self.used = int(self.spans[len(self.known) - 1].sum()) if self.known else 0
-
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Remember the ids of words that aren't known."""
-        n, used = len(self.known), self.used
-        while n + len(words) > len(self.spans):
-            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-        while used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[used : used + len(ids)] = ids
-        self.spans[n : n + len(words), 0] = used + np.cumsum(sizes) - sizes
-        self.spans[n : n + len(words), 1] = sizes
-        self.known.update(zip(words, range(n, n + len(words))))
-        self.used += len(ids)
-
-    def _join(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words, one after another, and how many each has."""
-        starts, sizes = self.spans[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].T
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(starts - before, sizes) + np.arange(sizes.sum())], sizes
+        self.known = KnownIds(words, KEEP_WORDS, CACHE_BYTES)
 
     def _learn(self, words: list[bytes]) -> None:
         """Words are made of a lower-case base and the marks after it; both are encoded once."""
-        known, wanted, made = self.known, {}, []
+        known, wanted, made = self.known.places, {}, []
         for w in words:
             low = w.lower() if b"<|" not in w else w
             base = low.rstrip(MARKS)
             text = base.decode("utf-8", "replace")
-            if not base or not text[-1].isalnum():
+            if not base or not text.lower()[-1].isalnum():  # lower case may end in a mark: that of İ does
                 base, text = low, low.decode("utf-8", "replace")
             marks = low[len(base) :]
             if base not in known:
@@ -87,21 +61,21 @@ class WordTokenizer:
                 wanted[marks] = marks.decode()
             if base != w:
                 made.append((w, base, marks))
-        letters = [w for w, text in wanted.items() if text.isalpha()]
+        letters = [w for w, text in wanted.items() if text.lower().isalpha()]
         groups = [letters[i : i + GROUP] for i in range(0, len(letters), GROUP)]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(map(wanted.__getitem__, g)) for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group):  # else the vocabulary marks no ends: one by one, below
-                self._add(group, ids, np.diff(ends, prepend=0))
+                self.known.add(group, ids, np.diff(ends, prepend=0))
         others = [w for w in wanted if w not in known]
         found = [x.ids for x in self.tokenizer.encode_batch_fast([wanted[w] for w in others], add_special_tokens=False)]
-        self._add(others, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        self.known.add(others, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
         made = [m for m in made if m[0] not in known]
-        ids, sizes = self._join([part for _, base, marks in made for part in (base, marks or base)])
+        ids, sizes = self.known.join([part for _, base, marks in made for part in (base, marks or base)])
         both = np.array([bool(marks) for _, _, marks in made], bool)
         keep = np.stack([np.ones(len(made), bool), both], 1).ravel()  # a word without marks gives its base alone
-        self._add([m[0] for m in made], ids[np.repeat(keep, sizes)], np.where(keep, sizes, 0).reshape(-1, 2).sum(1))
+        self.known.add([m[0] for m in made], ids[np.repeat(keep, sizes)], np.where(keep, sizes, 0).reshape(-1, 2).sum(1))
 
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text, some texts at a time."""
@@ -114,13 +88,13 @@ class WordTokenizer:
                 sizes.append(len(own))
                 held += len(texts[at])
                 at += 1
-            new = set(parts).difference(self.known)
+            new = set(parts).difference(self.known.places)
             if new:
-                if len(self.known) > self.words:
-                    self._forget()
-                    new = set(parts).difference(self.known)
+                if self.known.full(new):
+                    self.known.forget()
+                    new = set(parts).difference(self.known.places)
                 self._learn(list(new))
-            ids, counts = self._join(parts)
+            ids, counts = self.known.join(parts)
             ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
             yield from np.split(ids, ends[:-1])
 

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterable
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: [\x20\x09-\x0D]
@@ -20,6 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of ``docs``, all or those named, in one struct ``row``, so that no name meets another; a name may
+    hold dots."""
+    names = ((c, c.replace("`", "``")) for c in (docs.columns if columns is None else columns))
+    return F.struct(*(F.col(f"`{quoted}`").alias(c) for c, quoted in names)).alias("row")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``row`` holds."""
+    return rows.select(*(F.col("row")[c].alias(c) for c in columns))
+
+
+def filter_texts(docs: DataFrame, keep: Callable) -> DataFrame:
+    """The rows of ``docs`` that stay, columns as given: ``keep`` gives a flag for each text of an Arrow array."""
+
+    def run(batches):
+        for b in batches:
+            yield b.select(["row"]).filter(pa.array(keep(b.column(1)), pa.bool_()))
+
+    row = docs.select(whole_row(docs), F.col("text"))
+    return unpacked(row.mapInArrow(run, StructType([row.schema["row"]])), docs.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
