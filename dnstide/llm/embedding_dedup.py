@@ -1,8 +1,8 @@
 """Embedding near-dedup: random-hyperplane hashing in several tables, exact cosines, connected components.
 
 Equal vectors under one label are one node. A node's sign bits make a key in each table; nodes that share a key are
-compared, and a pair only in the first table in which it meets, which the bits themselves tell. Bits that differ in
-more places than a pair within the threshold ever does spare the cosine. In a bucket of many nodes pairs aren't made:
+compared, a pair once and only if its signatures, 128 of the bits, differ in no more places than a pair within the
+threshold ever does. In a bucket of many nodes pairs aren't made:
 its nodes are dealt into chunks, and each pair of chunks is one product of two matrices, from which only the number of
 links of each node and a spanning tree of the links leave the task.
 """
@@ -24,26 +24,21 @@ from dnstide.llm.shared import connected_components, settle, spread
 MISS = 2e-5
 #: Nodes that share a key by chance, in the mean: sets the number of bits of a table.
 BY_CHANCE = 16
+#: Sign bits that each row of a table carries, so that chance pairs aren't compared, and the words that hold them.
+SIGNATURE, WORDS = 128, ("s0", "s1")
 #: Nodes of a bucket that are compared as pairs of rows, and nodes of a chunk beyond that.
 HOT, CHUNK = 64, 256
 
 
 class Planes:
-    """Sign bits of vectors: ``tables`` tables of ``bits`` bits, packed into lanes of 8, 16 or 32 bits, so many to a
-    word that its top byte stays free."""
+    """Sign bits of vectors: ``tables`` tables of ``bits`` bits; the first ``SIGNATURE`` of all bits tell near pairs
+    from chance ones."""
 
     def __init__(self, bits: int, threshold: float, seed: int = 7):
         self.bits, self.seed = bits, seed
-        self.lane = 8 if bits <= 8 else 16 if bits <= 16 else 32
-        self.lanes = 56 // self.lane
         differ = math.acos(threshold) / math.pi  # chance that a plane parts a pair at the threshold
-        self.tables = math.ceil(math.log(MISS) / math.log(1 - (1 - differ) ** bits))
-        self.words = -(-self.tables // self.lanes)
-        self.tables = self.words * self.lanes
-        n = self.tables * bits
-        self.most = math.ceil(n * differ + 6 * math.sqrt(n * differ * (1 - differ)))
-        self.low = sum(((1 << (self.lane - 1)) - 1) << (self.lane * i) for i in range(self.lanes))
-        self.high = sum(1 << (self.lane * i + self.lane - 1) for i in range(self.lanes))
+        self.tables = max(-(-SIGNATURE // bits), math.ceil(math.log(MISS) / math.log(1 - (1 - differ) ** bits)))
+        self.most = math.ceil(SIGNATURE * differ + 6 * math.sqrt(SIGNATURE * differ * (1 - differ)))
 
     @classmethod
     def for_size(cls, rows: int, threshold: float) -> Planes:
@@ -58,18 +53,11 @@ class Planes:
         weights = (1 << np.arange(self.bits)).astype(np.int64)
         return ((values @ planes[dim] > 0).reshape(-1, self.tables, self.bits) * weights).sum(2)
 
-    def packed(self, signs: np.ndarray) -> np.ndarray:
-        shifts = self.lane * np.arange(self.lanes, dtype=np.int64)
-        return (signs.reshape(-1, self.words, self.lanes) << shifts).sum(2)
-
-    def first(self, differ: list[Column]) -> Column:
-        """The first table in which two nodes agree, by the words in which they differ; null if there is none."""
-        found = F.lit(None).cast("int")
-        for i, x in reversed(list(enumerate(differ))):
-            free = F.bitwise_not(((x.bitwiseAND(F.lit(self.low)) + F.lit(self.low)).bitwiseOR(x))).bitwiseAND(F.lit(self.high))  # top bits of equal lanes
-            place = F.bit_count(free.bitwiseAND(-free) - 1)
-            found = F.when(free != 0, (place / self.lane).cast("int") + i * self.lanes).otherwise(found)
-        return found
+    def signatures(self, signs: np.ndarray) -> np.ndarray:
+        """The first bits of each row, as words of 64."""
+        bits = (signs[:, :, None] >> np.arange(self.bits)) & 1
+        words = np.packbits(bits.reshape(len(signs), -1)[:, :SIGNATURE].astype(np.uint8), axis=1)
+        return np.ascontiguousarray(words).view(np.int64)
 
 
 def units(vectors: pa.Array) -> np.ndarray:
@@ -81,9 +69,9 @@ def units(vectors: pa.Array) -> np.ndarray:
 
 
 def filed(nodes: DataFrame, planes: Planes) -> DataFrame:
-    """``(key, t, node, s0, s1, ...)``: for each row of ``nodes(node, label_hash, embedding)`` a row a table, with all
-    its packed bits."""
-    words = [f"s{i}" for i in range(planes.words)]
+    """``(key, t, node, s0, s1, ...)``: for each row of ``nodes(node, label_hash, embedding)`` a row a table, with its
+    signature."""
+    words = WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -99,35 +87,39 @@ def filed(nodes: DataFrame, planes: Planes) -> DataFrame:
                     key = (labels[:, None] ^ ((np.arange(t, dtype=np.uint64)[None, :] << np.uint64(32)) + signs.astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15)
                     key = (key ^ (key >> np.uint64(29)) ^ np.uint64(dim)) * np.uint64(0xBF58476D1CE4E5B9)
                     which = np.repeat(np.arange(n), t)
-                    packed = planes.packed(signs)[which]
-                    columns = [pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), own.column(0).take(pa.array(which)), *(pa.array(packed[:, i]) for i in range(planes.words))]
+                    packed = planes.signatures(signs)[which]
+                    columns = [pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), own.column(0).take(pa.array(which)), *(pa.array(packed[:, i]) for i in range(len(words)))]
                     yield pa.record_batch(columns, names=["key", "t", "node", *words])
 
     return nodes.select("node", "label_hash", "embedding").mapInArrow(run, "key bigint, t int, node bigint, " + ", ".join(f"{w} bigint" for w in words))
 
 
 def pair_links(cold: DataFrame, nodes: DataFrame, planes: Planes, threshold: float) -> DataFrame:
-    """Links ``(a, b)`` between the nodes that share a key, each once."""
-    words = [f"s{i}" for i in range(planes.words)]
-    left = cold.withColumnsRenamed({"node": "a", **{w: f"{w}a" for w in words}})
-    right = cold.drop("t").withColumnsRenamed({"node": "b", **{w: f"{w}b" for w in words}})
-    differ = [F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b")) for w in words]
-    close = reduce(Column.__add__, map(F.bit_count, differ)) <= planes.most
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & close & (planes.first(differ) == F.col("t"))).select("a", "b")
+    """Links ``(a, b)`` between the nodes that share a key of ``cold``, each once, but for those that share one of an
+    earlier table: that bucket is large and gives them."""
+    left = cold.withColumnsRenamed({"node": "a", **{w: f"{w}a" for w in WORDS}})
+    right = cold.drop("t").withColumnsRenamed({"node": "b", **{w: f"{w}b" for w in WORDS}})
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in WORDS))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (differ <= planes.most)).groupBy("a", "b").agg(F.min("t").alias("t"))
     side = nodes.select("node", "label", "embedding")
     for k in ("a", "b"):
         pairs = pairs.join(side.select(F.col("node").alias(k), F.struct("label", "embedding").alias(f"{k}_v")), k)
     pairs = pairs.where((F.col("a_v.label") == F.col("b_v.label")) & (F.size("a_v.embedding") == F.size("b_v.embedding")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
         for b in batches:
-            dims = np.array([len(x) for x in b.column(2)])
-            for dim in np.unique(dims).tolist():
-                own = b.take(pa.array(np.flatnonzero(dims == dim)))
-                cosine = (units(own.column(2)) * units(own.column(3))).sum(1)
-                yield own.select(["a", "b"]).filter(pa.array(cosine >= threshold))
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                dims = np.array([len(x) for x in part.column(3)])
+                for dim in np.unique(dims).tolist():
+                    own = part.take(pa.array(np.flatnonzero(dims == dim)))
+                    x, y = units(own.column(3)), units(own.column(4))
+                    near = np.flatnonzero((x * y).sum(1) >= threshold)
+                    first = (planes.signs(x[near], made) == planes.signs(y[near], made)).argmax(1)
+                    yield own.select(["a", "b"]).take(pa.array(near[first == own.column(2).to_numpy()[near]]))
 
-    return pairs.select("a", "b", "a_v.embedding", F.col("b_v.embedding").alias("other")).mapInArrow(verify, "a bigint, b bigint")
+    return pairs.select("a", "b", "t", "a_v.embedding", F.col("b_v.embedding").alias("other")).mapInArrow(verify, "a bigint, b bigint")
 
 
 def block_links(hot: DataFrame, nodes: DataFrame, planes: Planes, threshold: float) -> DataFrame:
