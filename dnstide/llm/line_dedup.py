@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import BLANKS, ascii_lower, settle
+from dnstide.llm.shared import BLANKS, ascii_lower, settle, whole_row
 
 #: Bits of a bitmap word.
 WORD = 64
@@ -36,7 +36,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     key too. Rows of one doc_id are one document; null doc_ids are one document that comes last.
     """
     salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode(line_keys(F.col("text"))).alias("pos", "line"))
+    # hashed below the explode: above it each line would hash the whole text
+    hashed = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), line_keys(F.col("text")).alias("keys"))
+    lines = hashed.select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "line"))
     lines = lines.where(F.char_length("line") >= min_chars)
     # settled, as sampling the splitters would split and hash all texts a second time
     lines = settle(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "text_hash", "pos"))
@@ -52,8 +54,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("pos") % WORD))
     words = lost.groupBy("doc_id", "text_hash", F.floor(F.col("pos") / WORD).cast("int").alias("word")).agg(F.bitwise_not(bits).alias("bits"))
     packed = words.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("keep"))
-    by_word = F.map_from_entries("keep")
-    dense = F.transform(F.sequence(F.lit(0), F.element_at("keep", -1)["word"]), lambda i: F.coalesce(by_word[i], F.lit(-1).cast("bigint")))
+    last = lambda i: F.coalesce(F.get("keep", i - 1)["word"], F.lit(-1))
+    ones = lambda n: F.array_repeat(F.lit(-1).cast("bigint"), n)
+    dense = F.flatten(F.transform("keep", lambda x, i: F.concat(ones(x["word"] - last(i) - 1), F.array(x["bits"]))))
     return packed.select("doc_id", "text_hash", "keep", dense.alias("words"))
 
 
@@ -66,7 +69,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     any name come back in ``row``. An empty table gives an empty one.
     """
     maps = keep_bitmaps(docs, min_chars).withColumnsRenamed({"doc_id": "map_id", "text_hash": "map_hash"})
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), text_hash(F.col("text")).alias("row_hash"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("row_id"), text_hash(F.col("text")).alias("row_hash"))
     joined = rows.join(maps, F.col("row_id").eqNullSafe(F.col("map_id")) & (F.col("row_hash") == F.col("map_hash")), "left")
     lines = F.split(F.coalesce("row.text", F.lit("")), "\n")
     word = lambda i: F.coalesce(F.get("words", F.floor(i / WORD).cast("int")), F.lit(-1).cast("bigint"))
