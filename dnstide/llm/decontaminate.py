@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from dnstide.llm.shared import filter_texts
+
 #: Letters, digits and underscores.
 WORD = r"[\p{L}\p{N}_]+"
 #: UTF-8 bytes of item texts in a broadcast block; further items make further blocks.
@@ -129,15 +131,16 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, columns as given. Each row is judged by its own text, whatever its
-    doc_id; a large benchmark takes a pass a block."""
-    at = docs.columns.index("text")
+    """The rows of ``docs(text, ...)`` that hold no test item, columns as given, whatever their names. Each row is
+    judged by its own whole text, whatever its doc_id; null and empty texts hold nothing and stay, as all do where the
+    benchmark is empty; repeated rows fare alike; a large benchmark takes a pass a block."""
     for shared in _blocks(benchmark, block_bytes):
+        search = {}
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sketches = Sketches(shared.value, words, threshold)
-            for b in batches:
-                yield b.filter(pa.array([next(sketches.search(x.as_py(), threshold), None) is None for x in b.column(at)], pa.bool_()))
+        def keep(texts: pa.Array, shared=shared, search=search) -> list[bool]:
+            if not search:
+                search[0] = Sketches(shared.value, words, threshold)
+            return [next(search[0].search(x.as_py(), threshold), None) is None for x in texts]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filter_texts(docs, keep)
     return docs

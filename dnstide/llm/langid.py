@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import discard, settle, settled_path, worker_memory
+from dnstide.llm.shared import discard, filter_texts, settle, settled_path, worker_memory
 
 #: Characters of the longest n-gram.
 ORDER = 5
@@ -307,11 +307,5 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
     if not model.languages:
         return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer.of(shared.value)
-        for b in batches:
-            yield b.filter(pa.array([not x[3] for x in score(x.as_py() for x in b.column(at))], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, lambda texts: [not x[3] for x in Scorer.of(shared.value)(x.as_py() for x in texts)])
