@@ -20,7 +20,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import ascii_lower, settle, spread
+from dnstide.llm.shared import ascii_lower, settle, spread, whole_row
 
 #: Fixed word lists: given names by script and gender, each mapped within its own list. A parameter of replace_pii.
 GIVEN = {
@@ -269,7 +269,7 @@ def replace_pii(docs: DataFrame, key: str, given: dict[str, list[str]] = GIVEN)
     kinds = (*KINDS, *NAMES)
     # an array of plain strings: a field of the n-th struct would be read by making the array of all its fields
     per_doc = news.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "named", F.transform("news", lambda x: x["new"]).alias("new"), F.struct(*map(count, kinds)).alias("counts"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
     joined = rows.join(per_doc, F.col("row_id").eqNullSafe(F.col("found_id")) & (F.col("row_hash") == F.col("found_hash")), "left")
     gaps = F.when(F.col("named"), F.split("row.text", WITH_WORDS)).otherwise(F.split("row.text", PATTERN))
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.lit("")))), "")

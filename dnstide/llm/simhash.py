@@ -115,7 +115,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, hot: in
 
     Null and empty texts have fingerprint 0 and link like any other. A row without doc_id keeps null and counts for
     reachability; where a component has no doc_id at all, component_id is null. Rows that repeat a doc_id are each
-    fingerprinted. An empty table gives an empty one; other columns are not read.
+    fingerprinted, and texts of any length whole. An empty table gives an empty one; other columns are not read.
     """
     fps = settle(fingerprints(docs, words))
     distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
@@ -126,18 +126,5 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, hot: in
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays (one row,
-    if several have that doc_id). Rows without doc_id stay. Columns as given."""
-    found = simhash_components(docs.where("doc_id is not null"), words, radius)
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi")
-    repeated = settle(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi")
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id"]))
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -166,7 +166,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 start = p >> 32
                 first, last = start - ((p >> 16) & 0xFFFF), start - (p & 0xFFFF)
                 n, many = len(p), salts[at : at + 4000]
-                salt = (b.column(4)[row].as_py() + start) % many
+                # mixed, as the places of lines of one width would fall on few salts
+                salt = ((b.column(4)[row].as_py() + start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many
                 same = pa.array(np.full(n, row))
                 yield pa.record_batch(
                     [b.column(0).take(same), b.column(1).take(same), pa.array(anchor[at : at + 4000]), pa.array(salt), pa.array(many), pa.array(first), pa.array(start - first), pa.array([text[s : s + LEAD] for s in start.tolist()], pa.binary()), pa.array([text[f : x + length] for f, x in zip(first.tolist(), last.tolist())], pa.binary())],
@@ -309,6 +310,7 @@ def once(docs: DataFrame, again: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = GRAM, cap: int = CAP) -> DataFrame:
     """``(doc_id, text_hash, ranges array<struct<start, stop>>)`` for the rows with repeated strings: byte ranges,
     sorted, that may overlap. A row that is there more than once is searched once and is a range by itself."""
+    docs = docs.select("doc_id", "text")
     again = settle(repeated_rows(docs))
     whole = None
     if not again.isEmpty():

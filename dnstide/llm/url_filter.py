@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import ascii_lower
+from dnstide.llm.shared import ascii_lower, whole_row
 
 #: verdict, rule (host/path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -67,7 +67,7 @@ def url_filter(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT, s
     kept = [c for c in pages.columns if c not in new or c == url]
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule = rule_of(host, path, rules)
-    counted = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"), rule.alias("rule"), _terms(strict, soft)(ascii_lower(F.col(url))).alias("terms"))
+    counted = pages.select(whole_row(pages, kept), host.alias("host"), path.alias("path"), rule.alias("rule"), _terms(strict, soft)(ascii_lower(F.col(url))).alias("terms"))
     by_rule = F.create_map(*(F.lit(x) for verdict, r in rules for x in (r, verdict))) if rules else F.create_map().cast("map<string,string>")
     found = F.when((F.col("terms.n_strict") > 0) | (F.col("terms.n_soft") >= soft_limit), "block").otherwise("allow")
     return counted.select(*(F.col("row")[c].alias(c) for c in kept if c not in new), "host", "path", "rule", F.col("terms.n_strict").alias("n_strict"), F.col("terms.n_soft").alias("n_soft"), F.coalesce(by_rule[F.col("rule")], found).alias("verdict"))

@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dnstide.llm import langid, near_dedup, pii, secrets, simhash, suffix_dedup
+from dnstide.llm import langid, near_dedup, packing, pii, secrets, simhash, suffix_dedup
 from dnstide.llm.embedding_dedup import embedding_dedup
 from dnstide.llm.packing import Packer, fill
 from dnstide.llm.queries import ORACLES, QUERIES
@@ -69,6 +69,18 @@ def test_packing_round_trip(spark, sf_dir, texts, tokenizer):
     check_pieces(QUERIES["op2_packing"](spark, sf_dir).collect(), texts, tokenizer)
 
 
+def test_ids_of_odd_letters(tokenizer):
+    """Ids are the tokenizer's, also where lower case is longer, ends in a mark, or is no letter."""
+    rng = random.Random(8)
+    some = "İıŞşÅåǅß·'’.,;:!?#$%&*|_-<> \t\nabcXYZ019éÉñΣςК中文字한ก้🙂\u0307\u0301\u200b\u00a0²½٣"
+    texts = ["".join(rng.choices(some, k=rng.randrange(1, 12))) for _ in range(12_000)]
+    texts += ["".join(map(chr, rng.choices([*range(33, 0xD800), *range(0xE000, 0x20000)], k=rng.randrange(1, 8)))) for _ in range(6000)]
+    texts += ["VERGİSİ.", "ANKARA’DAKİ, İSTANBUL", "TÜRKİYE İ.", "Å<中İ*", "_İ|", "İ?"]
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    wrong = [t for t, ids in zip(texts, own([t.encode() for t in texts]), strict=True) if ids.tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("size", [3000, 2049, 1000])
 def test_packing_equal_lengths(size):
     """Lengths that fill no window: held tokens stay bounded, and all windows but the last are full."""

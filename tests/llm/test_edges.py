@@ -12,7 +12,7 @@ from dnstide.llm.near_dedup import near_dedup
 from dnstide.llm.packing import pack
 from dnstide.llm.pii import replace_pii
 from dnstide.llm.secrets import scan
-from dnstide.llm.simhash import simhash_components, simhash_dedup
+from dnstide.llm.simhash import simhash_components
 from dnstide.llm.suffix_dedup import substring_dedup
 from dnstide.llm.url_filter import url_filter
 
@@ -46,7 +46,7 @@ def operators(items):
         "lines": (line_dedup, 11),
         "line_texts": (line_dedup_texts, 11),
         "simhash": (simhash_components, 11),
-        "simhash_dedup": (simhash_dedup, None),
+        "near_dedup": (near_dedup, None),
     }
 
 
@@ -115,7 +115,7 @@ def test_empty(docs, items, name):
     assert operators(items)[name][0](docs.where("false")).collect() == []
 
 
-@pytest.mark.parametrize("run", [line_dedup_texts, simhash_dedup, keep_known_languages])
+@pytest.mark.parametrize("run", [line_dedup_texts, keep_known_languages])
 def test_filters_keep_columns(docs, run):
     assert run(docs).columns == docs.columns
 
@@ -136,8 +136,8 @@ def test_decontaminate_judges_each_row(spark, block_bytes):
 
 
 def test_near_dedup_keeps_one(docs):
-    got = sorted(r.doc_id for r in simhash_dedup(docs).where("doc_id is not null").select("doc_id").collect())
-    assert got == [1, 2, 4, 6]
+    got = sorted(r.doc_id for r in near_dedup(docs).where("doc_id is not null").select("doc_id").collect())
+    assert got == [1, 2, 4, 4, 6]
 
 
 def test_lines(docs):
@@ -172,3 +172,43 @@ def test_vectors(spark):
     for key in ((3, 2), (4, 1), (5, 1), (6, 1), (7, 1), (8, None), (10, 1), (11, 1), (12, 1)):
         assert got[key] == (0, key[0], True)
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).collect() == []
+
+
+#: Names that operators use inside, and names that need quoting.
+INSIDE = ["stay_id", "stay_hash", "_text_hash", "text_hash", "own_id", "own_hash", "again", "again_id", "again_hash", "map_id", "map_hash", "row_id", "row_hash", "found_id", "found_hash", "range_id", "range_hash", "list_id", "list_hash", "words", "keep", "new", "counts", "set", "n", "component", "a.b", "c d", "e`f", "row", "terms"]
+
+
+@pytest.mark.parametrize("name", list(operators(None)))
+def test_clashing_names(spark, items, name):
+    plain = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
+    odd = plain.select("*", *(F.lit(i).alias(c) for i, c in enumerate(INSIDE)))
+    run, rows = operators(items)[name]
+    got = run(odd)
+    n = got.count()
+    assert n == run(plain).count() and (rows is None or n == rows)
+    if set(odd.columns) <= set(got.columns):
+        assert got.columns == odd.columns and {tuple(r)[3:] for r in got.collect()} == {tuple(range(len(INSIDE)))}
+
+
+def test_clashing_names_of_other_tables(spark):
+    odd = [F.lit(i).alias(c) for i, c in enumerate(INSIDE + ["node", "key", "low", "h1", "member"])]
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string").select("*", *odd)
+    assert url_filter(pages).where("verdict = 'allow'").count() == 2
+    vectors = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 0.01])], "vec_id long, label int, embedding array<float>").select("*", *odd)
+    assert [r.component_id for r in embedding_dedup(vectors).collect()] == [1, 1]
+
+
+def test_many_lines(spark):
+    """Two texts of a million equal lines: time in proportion to the lines."""
+    text = "\n".join(f"line number {i}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nand one line more")], "doc_id long, text string")
+    got = {r.row.doc_id: (r.kept_text, r.n_dropped) for r in line_dedup(docs).collect()}
+    assert got[1] == (text, 0) and got[2] == ("and one line more", 1_000_000)
+
+
+def test_long_alike_texts(spark):
+    """A bucket of long texts goes through few chunks, whatever its shingles."""
+    words = [f"w{i}" for i in range(60_000)]
+    texts = [" ".join(words[: 60_000 - 5 * i]) + f" end {i}" for i in range(40)] + [" ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup(docs, hot=4).select("doc_id").collect()) == [0, 40]
