@@ -235,6 +235,9 @@ _PASSED = f"<= (SELECT {_STAMP.format("max(ts) - INTERVAL 10 MINUTE")} FROM rec)
 ORACLES |= {
     "subnet_ranges": ORACLES["subnet_lpm"],
     "prefix_ancestor": ORACLES["closest_ancestor"],
+    "range_cover": f"{HOURLY} SELECT kind, item, CAST(sum(query_num) AS BIGINT) AS query_num FROM hourly WHERE view = '{VIEW}' AND stamp >= '{COARSE[0]}' AND stamp < '{COARSE[1]}' GROUP BY kind, item",
+    "late_hours": ORACLES["hourly_snapshot"],
+    "late_days": ORACLES["daily_rollup"],
     "stream_tail": _REASONS,
     "distinct_range": f"""{BASE},
 spans AS (SELECT * FROM bucketed WHERE {_HOUR} >= '{COARSE[0]}' AND {_HOUR} < '{COARSE[1]}')

@@ -12,7 +12,7 @@ from dnstide.functions.names import RCODES, RTYPES, rcode_label, rtype_label, fu
 from dnstide.functions.stamps import stamp, whole_point
 from dnstide.operators import counters, lookups, nested, rates, reports, requests
 from dnstide.operators import topn as ranks
-from dnstide.plans import ranges, rollup
+from dnstide.plans import cover, late, ranges, rollup
 from dnstide.sources import fixture, history, logs
 from dnstide.sources.tail import tail
 from dnstide.streaming import jobs, live
@@ -468,6 +468,35 @@ def long_property(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
+@query
+def range_cover(spark, sf_dir):
+    """Sums of the long range from the nodes that cover it."""
+    path = history.scratch(spark, "levels")
+    cover.write_levels(hourly(spark, sf_dir), path)
+    return cover.range_sums(spark, path, VIEW, *COARSE)
+
+
+def _with_late(spark, sf_dir):
+    """Hourly and daily rows stored before the lines of server failures came, and then with them."""
+    r = stored(records(spark, sf_dir))
+    counts = stored(late.hourly_counts(r.where("rcode != 'SERVFAIL'")))
+    fine = stored(rollup.snapshot_rows(counts))
+    coarse = stored(rollup.daily_rollup(fine))
+    changed = stored(late.changed_counts(counts, late.hourly_counts(r.where("rcode = 'SERVFAIL'"))))
+    both, new = late.with_late_hours(fine, changed)
+    return both, late.with_late_days(coarse, both, new)
+
+
+@query
+def late_hours(spark, sf_dir):
+    return _with_late(spark, sf_dir)[0].select("kind", "view", "stamp", "item", "query_num")
+
+
+@query
+def late_days(spark, sf_dir):
+    return _with_late(spark, sf_dir)[1].select("kind", "view", "stamp", "item", "query_num")
+
+
 # Streams
 
 
