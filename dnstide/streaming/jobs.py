@@ -91,7 +91,7 @@ def start_snapshots(counts: DataFrame, path: str, table: str, checkpoint: str, t
 
     def write(batch: DataFrame, number: int) -> None:
         spark, name = batch.sparkSession, f"{number:012d}-0"
-        batch.withColumn("batch", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+        batch.withColumn("batch", F.lit(name)).hint("rebalance", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
         root = Folder(spark, path)
         changed = [x for x in root.names() if x.startswith("hour=") and root.of(x).of(f"batch={name}").exists()]
         for hour in changed:
