@@ -82,6 +82,13 @@ def interface_rates(values: DataFrame) -> DataFrame:
     return values.groupBy("ethn", stamp(end_of(F.col("ts"), MARK) - F.expr("INTERVAL 5 MINUTES")).alias("stamp")).agg(F.avg("value").alias("rx_rate"), F.max("value").alias("tx_rate"))
 
 
+def interface_half_hours(rows: DataFrame) -> DataFrame:
+    """The one-day table of interface_rates: ``ethn, stamp, rx_rate, tx_rate`` at each half-hour mark with any rows in
+    the half hour up to it, the mark left out: their means."""
+    mark = stamp(end_of(F.to_timestamp("stamp", "yyyyMMddHHmmss"), HALF))
+    return rows.groupBy("ethn", mark.alias("stamp")).agg(F.avg("rx_rate").alias("rx_rate"), F.avg("tx_rate").alias("tx_rate"))
+
+
 def downsample(series: DataFrame, *keys: str, order: str = "stamp", points: int = POINTS) -> DataFrame:
     """At most ``points`` rows of each series: all if there are no more, else every (n div points)-th from the first,
     the last row never, cut at ``points``. Rows of one stamp must be told apart by the series' other columns.

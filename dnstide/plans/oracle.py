@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnstide.plans.queries import COARSE, FINE, VIEW
+from dnstide.plans.queries import COARSE, DAY_END, FINE, HEAVY, VIEW
 from dnstide.sources.fixture import RECORD_SQL
 
 #: rec: accepted records; keyed: each under both keys; named: with normalised names.
@@ -109,6 +109,25 @@ def _thin(table: str, key: str, order: str) -> str:
   WHERE n <= 1500 OR (i < n - 1 AND i % step = 0 AND i // step < 1500)"""
 
 
+#: five: five-minute rows of two interfaces.
+_FIVE = """WITH five AS (
+  SELECT 'eth' || (user_id % 2) AS ethn, strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y%m%d%H%M%S') AS stamp, avg(value) AS rx_rate, max(value) AS tx_rate FROM events GROUP BY ALL
+)"""
+
+
+def _cut(name: str, table: str, by: str) -> str:
+    """CTEs that cut ``table(by, name, lower, over)``, whose rows without a name say what may be missing."""
+    on = by.replace(" ", "").split(",")
+    same = " AND ".join(f"l.{c} = r.{c}" for c in on)
+    return f"""{name}_ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY over DESC, name) AS r FROM {table} WHERE name IS NOT NULL),
+{name}_off AS (SELECT {by}, coalesce(max(over) FILTER (WHERE r = {HEAVY + 1}), 0) AS off FROM {name}_ranked GROUP BY ALL),
+{name} AS (
+  SELECT {", ".join(f"l.{c}" for c in on)}, name, lower, over - off AS over FROM {name}_ranked l JOIN {name}_off r ON {same} WHERE l.r <= {HEAVY}
+  UNION ALL SELECT {by}, NULL, 0, off FROM {name}_off
+  UNION ALL SELECT {by}, NULL, 0, over FROM {table} WHERE name IS NULL
+)"""
+
+
 _REASONS = """SELECT reason, count(*) AS count FROM (
   SELECT CASE WHEN event_id % 59 = 0 THEN 'zone' WHEN event_id % 53 = 0 THEN 'colon' ELSE 'accepted' END AS reason FROM events) GROUP BY reason"""
 _VALUE_LINES = f"""line AS (
@@ -215,11 +234,15 @@ every AS (
 ),
 own AS (SELECT * EXCLUDE (key) FROM every WHERE key = '{VIEW}')
 {_thin('own', 'span, series', 'stamp')}""",
-    "nic_rate_read": f"""WITH five AS (
-  SELECT 'eth' || (user_id % 2) AS ethn, strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y%m%d%H%M%S') AS stamp, round(avg(value), 6) AS rx_rate, max(value) AS tx_rate FROM events GROUP BY ALL
-),
+    "nic_rate_read": f"""{_FIVE},
 own AS (SELECT * FROM five WHERE ethn = 'eth0' AND stamp >= '{FINE[0]}' AND stamp < '{FINE[1]}')
-{_thin('own', 'ethn', 'stamp')}""",
+SELECT ethn, stamp, round(rx_rate, 6) AS rx_rate, round(tx_rate, 6) AS tx_rate FROM ({_thin('own', 'ethn', 'stamp')})""",
+    "nic_rate_long": f"""{_FIVE},
+long AS (
+  SELECT ethn, {_STAMP.format(_end("strptime(stamp, '%Y%m%d%H%M%S')", "30 minutes"))} AS stamp, avg(rx_rate) AS rx_rate, avg(tx_rate) AS tx_rate FROM five GROUP BY ALL
+),
+own AS (SELECT * FROM long WHERE ethn = 'eth0' AND stamp >= '{COARSE[0]}' AND stamp < '{COARSE[1]}')
+SELECT ethn, stamp, round(rx_rate, 6) AS rx_rate, round(tx_rate, 6) AS tx_rate FROM ({_thin('own', 'ethn', 'stamp')})""",
     "downsample": f"""WITH own AS (SELECT event_type, strftime(ts, '%Y%m%d%H%M%S%f') AS stamp, event_id FROM events)
 {_thin('own', 'event_type', 'stamp, event_id')}""",
     "long_topn": f"{DAILY} {_long('domain', 10)} UNION ALL {_long('ip', 10)}",
@@ -243,6 +266,20 @@ ORACLES |= {
 spans AS (SELECT * FROM bucketed WHERE {_HOUR} >= '{COARSE[0]}' AND {_HOUR} < '{COARSE[1]}')
 SELECT key, 'domains' AS kind, count(DISTINCT dname) AS names, true AS within FROM spans WHERE dname IS NOT NULL GROUP BY key
 UNION ALL SELECT key, 'clients', count(DISTINCT iname), true FROM spans WHERE iname IS NOT NULL GROUP BY key""",
+    "qps_ticks": f"""{ORACLES['qps_10s'].replace('SELECT key, strftime', ', ticks AS (SELECT key, strftime', 1)}),
+every AS (SELECT key, {_STAMP.format('t')} AS stamp FROM (SELECT DISTINCT key FROM ticks), (SELECT unnest(generate_series(strptime('{FINE[0]}', '%Y%m%d%H%M%S'), strptime('{DAY_END}', '%Y%m%d%H%M%S') - INTERVAL 10 SECOND, INTERVAL 10 SECOND)) AS t))
+SELECT key, stamp, coalesce(qps, 0.0::DOUBLE) AS qps FROM every LEFT JOIN ticks USING (key, stamp)""",
+    "heavy_hitters": f"""{HOURLY},
+spans AS (SELECT kind, stamp, key, name, n AS lower, n AS over FROM counted WHERE kind IN ('domain', 'ip') AND stamp >= '{COARSE[0]}' AND stamp < '{COARSE[1]}'),
+{_cut('hours', 'spans', 'kind, stamp, key')},
+by_day AS (SELECT kind, stamp[1:8] AS stamp, key, name, sum(lower) AS lower, sum(over) AS over FROM hours GROUP BY ALL),
+{_cut('days', 'by_day', 'kind, stamp, key')},
+together AS (SELECT kind, key, name, sum(lower) AS lower, sum(over) AS over FROM days GROUP BY ALL),
+{_cut('whole', 'together', 'kind, key')},
+missing AS (SELECT kind, key, sum(over) AS unlisted FROM whole WHERE name IS NULL GROUP BY ALL),
+exact AS (SELECT kind, key, name, sum(over) AS count FROM spans GROUP BY ALL)
+SELECT kind, key, name, lower::BIGINT AS lower, (over + unlisted)::BIGINT AS upper, unlisted::BIGINT AS unlisted, count::BIGINT AS count, true AS within
+FROM whole JOIN missing USING (kind, key) JOIN exact USING (kind, key, name)""",
     "stream_five_minutes": f"{ORACLES['five_minute_samples']} WHERE stamp {_PASSED}",
     "stream_half_hours": f"{ORACLES['half_hour_mean']} WHERE stamp {_PASSED}",
     "stream_top_lists": ORACLES["stream_topn"],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dnstide.functions.addresses import ipv4, ipv6, is_loopback, same_network
 from dnstide.functions.names import RCODES, RTYPES, rcode_label, rtype_label, full_name, valid_key, without_root
 from dnstide.functions.stamps import stamp, whole_point
-from dnstide.operators import counters, lookups, nested, rates, reports, requests
+from dnstide.operators import counters, heavy, lookups, nested, rates, reports, requests
 from dnstide.operators import topn as ranks
 from dnstide.plans import cover, late, ranges, rollup
 from dnstide.sources import fixture, history, logs
@@ -22,8 +22,10 @@ QUERIES: dict[str, Query] = {}
 
 VIEW = "default$z1.com"
 FINE = ("20240110000000", "20240113000000")
+DAY_END = "20240111000000"
 COARSE = ("20240105000000", "20240120000000")
 NOW = "20240412000000"
+HEAVY = 8
 
 
 def query(f: Query) -> Query:
@@ -39,6 +41,13 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.hourly_snapshot(records(spark, sf_dir))
 
 
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly rows of the fine range, read from a history table that has been written with all days."""
+    path = history.scratch(spark, "history")
+    history.append(hourly(spark, sf_dir), path)
+    return history.read(spark, path, *FINE).select("kind", "view", "stamp", "item", "query_num")
+
+
 def kind(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.col("kind") == name)
 
@@ -143,7 +152,7 @@ def rcode_bucket(spark, sf_dir):
 
 @query
 def history_range(spark, sf_dir):
-    return ranges.history_range(hourly(spark, sf_dir), VIEW, *FINE)
+    return ranges.history_range(kept(spark, sf_dir), VIEW, *FINE)
 
 
 @query
@@ -309,7 +318,7 @@ def distinct_range(spark, sf_dir):
 
 @query
 def property_totals(spark, sf_dir):
-    h = hourly(spark, sf_dir)
+    h = kept(spark, sf_dir)
     both = [ranges.property_totals(kind(h, k), VIEW, *FINE).withColumn("kind", F.lit(k)) for k in ("rcode", "rtype")]
     return both[0].union(both[1])
 
@@ -323,10 +332,9 @@ def half_hour_mean(spark, sf_dir):
 @query
 def latest_stamp(spark, sf_dir):
     """Of each kind of item table, and of one that holds nothing."""
-    h = hourly(spark, sf_dir)
-    found = h.groupBy("kind").agg(F.max("stamp").alias("stamp"))
-    empty = h.where("kind = 'none'").agg(F.coalesce(F.max("stamp"), F.lit(ranges.EMPTY_STAMP)).alias("stamp"))
-    return found.union(empty.select(F.lit("none").alias("kind"), "stamp"))
+    h = stored(hourly(spark, sf_dir))
+    found = [(k, ranges.latest_stamp(kind(h, k))) for k in (*rollup.KINDS, "none")]
+    return spark.createDataFrame(found, "kind string, stamp string")
 
 
 @query
@@ -358,7 +366,21 @@ def property_sorted(spark, sf_dir):
 
 @query
 def history_topn(spark, sf_dir):
-    return ranges.history_topn(kind(hourly(spark, sf_dir), "domain"), VIEW, *FINE, 10)
+    return ranges.history_topn(kind(kept(spark, sf_dir), "domain"), VIEW, *FINE, 10)
+
+
+@query
+def heavy_hitters(spark, sf_dir):
+    """The heaviest names of a range, from hourly summaries that are merged by the day and then over the days, beside
+    their exact counts. Eight counters a summary, so that hours of small logs are cut too."""
+    counts = stored(late.hourly_counts(records(spark, sf_dir)).where(F.col("kind").isin(*rollup.KINDS[:2])))
+    inside = (F.col("hour") >= COARSE[0]) & (F.col("hour") < COARSE[1])
+    hours = stored(heavy.of_counts(counts, "kind", "hour", "key", n=HEAVY)).where(inside)
+    days = heavy.merged(hours.withColumn("hour", F.substring("hour", 1, 8)), "kind", "hour", "key", n=HEAVY)
+    listed = heavy.heaviest(days, "kind", "key", n=HEAVY)
+    exact = counts.where(inside).groupBy("kind", "key", "name").agg(F.sum("count").alias("count"))
+    within = F.col("count").between(F.col("lower"), F.col("upper"))
+    return listed.join(exact, ["kind", "key", "name"]).select("kind", "key", "name", "lower", "upper", "unlisted", "count", within.alias("within"))
 
 
 @query
@@ -379,6 +401,12 @@ def qps_10s(spark, sf_dir):
     return rates.qps_10s(records(spark, sf_dir))
 
 
+@query
+def qps_ticks(spark, sf_dir):
+    """The same at every ten seconds of a day, 0.0 where a key had no query."""
+    return rates.fill_ticks(rates.qps_10s(records(spark, sf_dir)), FINE[0], DAY_END)
+
+
 @query
 def whole_point_(spark, sf_dir):
     stamps = records(spark, sf_dir).select(stamp(F.col("ts")).alias("stamp")).distinct()
@@ -433,11 +461,26 @@ def series_read(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+def _interfaces(spark, sf_dir):
+    """The fine and the one-day table of two interfaces."""
+    values = fixture.events(spark, sf_dir).select(F.concat(F.lit("eth"), (F.col("user_id") % 2).cast("string")).alias("ethn"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    fine = stored(rates.interface_rates(values))
+    return [t.withColumnRenamed("ethn", "view") for t in (fine, stored(rates.interface_half_hours(fine)))]
+
+
+def _interface_rows(rows):
+    return rows.select(F.col("view").alias("ethn"), "stamp", F.round("rx_rate", 6).alias("rx_rate"), F.round("tx_rate", 6).alias("tx_rate"))
+
+
 @query
 def nic_rate_read(spark, sf_dir):
-    values = fixture.events(spark, sf_dir).select(F.concat(F.lit("eth"), (F.col("user_id") % 2).cast("string")).alias("ethn"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    fine = rates.interface_rates(values).withColumnRenamed("ethn", "view")
-    return ranges.series_range(fine, fine.where("false"), "eth0", *FINE).select(F.col("view").alias("ethn"), "stamp", F.round("rx_rate", 6).alias("rx_rate"), "tx_rate")
+    return _interface_rows(ranges.series_range(*_interfaces(spark, sf_dir), "eth0", *FINE))
+
+
+@query
+def nic_rate_long(spark, sf_dir):
+    """Five days or more, from the one-day table."""
+    return _interface_rows(ranges.series_range(*_interfaces(spark, sf_dir), "eth0", *COARSE))
 
 
 @query
