@@ -248,6 +248,18 @@ def test_components_of_chains_stars_and_random_graphs(spark):
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("stretch", [30, 1 << 16])
+def test_joined_up_links_have_the_same_components(spark, stretch):
+    rng = random.Random(stretch)
+    links = [(x, x + 1) for x in rng.sample(range(70), 70)] + [(200, 201 + i) for i in range(60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(40)]
+    links = [(a - 250, b - 250) for a, b in links if a != b]
+    links += links[:5] + [(b, a) for a, b in links[:5]]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = sorted(map(tuple, connected_components(df).collect()))
+    assert sorted(map(tuple, near_dedup.joined_up(df, stretch).collect())) == want
+    assert near_dedup.joined_up(df.where("false"), stretch).collect() == []
+
+
 @pytest.mark.parametrize("hot", [2, 10_000])
 def test_near_dedup_is_jaccard(spark, sf_dir, hot):
     """Copies with some words changed, 5 to 20 bits of SimHash away, against all pairs."""
