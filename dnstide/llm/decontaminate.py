@@ -5,6 +5,9 @@ is its bottom-k MinHash: the k shingles of least hash. Items fall into size clas
 than the number of shingles that an item of the class's upper size may miss; so a document that holds an item holds at
 least one shingle of its sketch, and no item is lost, however long the document. Each document's shingles are looked up
 in the sketches; the few items met are verified on the shingles themselves.
+
+An item shorter than a shingle is one shingle of all its words, its own sketch: a document that has these words in a row
+holds it. Documents are shingled at such a length only where an item has it.
 """
 
 from __future__ import annotations
@@ -34,15 +37,15 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Hashes of word shingles: a bounded memory of word hashes, mixed over each run of words."""
 
-    def __init__(self, words: int, memory: int = 500_000):
-        self.words, self.memory, self.find = words, memory, regex.compile(WORD).findall
+    def __init__(self, memory: int = 500_000):
+        self.memory, self.find = memory, regex.compile(WORD).findall
         self.known: dict[str, int] = {}
 
     def split(self, text: str | None) -> list[str]:
         return self.find((text or "").lower())
 
-    def hashes(self, parts: list[str]) -> np.ndarray:
-        n = len(parts) - self.words + 1
+    def hashes(self, parts: list[str], words: int) -> np.ndarray:
+        n = len(parts) - words + 1
         if n < 1:
             return np.zeros(0, np.uint64)
         if len(self.known) > self.memory:
@@ -52,47 +55,52 @@ class Shingler:
             known[w] = xxhash.xxh64_intdigest(w)
         one = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
         out = np.zeros(n, np.uint64)
-        for i in range(self.words):
+        for i in range(words):
             out = (out ^ one[i : i + n]) * _MIX
             out ^= out >> np.uint64(29)
         return out
 
 
+def _shingles(parts: list[str], words: int) -> set[tuple]:
+    return {tuple(parts[i : i + words]) for i in range(len(parts) - words + 1)}
+
+
 class Sketches:
-    """A block of test items: sketch hashes in order, with the items behind each, and the items' shingles."""
+    """A block of test items: by length of shingles the sketch hashes in order, with the items behind each, and the
+    items' shingles."""
 
     def __init__(self, items: list[tuple], words: int, threshold: float):
-        self.shingler, self.items = Shingler(words), []
-        behind = defaultdict(list)
+        self.shingler, self.items = Shingler(), []
+        behind: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for key, text in items:
             parts = self.shingler.split(text)
-            if len(parts) < words:
+            if not parts:
                 continue
-            hashes = np.unique(self.shingler.hashes(parts))
+            size = min(words, len(parts))
+            hashes = np.unique(self.shingler.hashes(parts, size))
             upper = 1 << (len(hashes) - 1).bit_length()  # the size class
             k = math.floor((1 - threshold) * upper + 1e-9) + 1
             for h in hashes[:k].tolist():
-                behind[h].append(len(self.items))
-            self.items.append((key, {tuple(parts[i : i + words]) for i in range(len(parts) - words + 1)}))
-        self.keys = np.array(sorted(behind), np.uint64)
-        self.behind = [behind[h] for h in self.keys.tolist()]
+                behind[size][h].append(len(self.items))
+            self.items.append((key, _shingles(parts, size)))
+        self.sketches = [(size, np.array(sorted(of), np.uint64), [of[h] for h in sorted(of)]) for size, of in sorted(behind.items())]
 
     def search(self, text: str | None, threshold: float) -> Iterator[tuple]:
         """``(item, shingles of the item, shingles found)`` for each item in the text."""
         parts = self.shingler.split(text)
-        hashes = self.shingler.hashes(parts)
-        if not len(hashes) or not len(self.keys):
-            return
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        met = {i for k in np.unique(at[self.keys[at] == hashes]).tolist() for i in self.behind[k]}
-        if met:
-            w = self.shingler.words
-            own = {tuple(parts[i : i + w]) for i in range(len(parts) - w + 1)}
-            for i in sorted(met):
-                key, shingles = self.items[i]
-                found = len(shingles & own)
-                if found >= threshold * len(shingles) - 1e-9:
-                    yield key, len(shingles), found
+        for size, keys, behind in self.sketches:
+            hashes = self.shingler.hashes(parts, size)
+            if not len(hashes):
+                continue
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            met = {i for k in np.unique(at[keys[at] == hashes]).tolist() for i in behind[k]}
+            if met:
+                own = _shingles(parts, size)
+                for i in sorted(met):
+                    key, shingles = self.items[i]
+                    found = len(shingles & own)
+                    if found >= threshold * len(shingles) - 1e-9:
+                        yield key, len(shingles), found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -100,7 +108,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, thresho
     row of ``benchmark(item_id, text, ...)`` that it holds: at least ``threshold`` of the item's distinct shingles of
     ``words`` words (runs of letters, digits and underscores, lower-cased).
 
-    Null and empty texts hold nothing; items of fewer than ``words`` words are never found. Rows that repeat an id
+    Null and empty texts hold nothing; an item of fewer than ``words`` words is one shingle of all of them, and one
+    without words (null, empty) is never found. Extra columns, whatever their names, aren't read. Rows that repeat an id
     are each compared. Test items are broadcast in blocks of at most about ``block_bytes`` of text, one pass over the
     documents a block, so a large benchmark takes more passes and no more memory. The documents aren't shuffled.
     """
@@ -133,7 +142,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs(text, ...)`` that hold no test item, columns as given, whatever their names. Each row is
     judged by its own whole text, whatever its doc_id; null and empty texts hold nothing and stay, as all do where the
-    benchmark is empty; repeated rows fare alike; a large benchmark takes a pass a block."""
+    benchmark is empty; a short item takes all documents with its words in a row, so one of a common word takes many;
+    repeated rows fare alike; a large benchmark takes a pass a block."""
     for shared in _blocks(benchmark, block_bytes):
         search = {}
 

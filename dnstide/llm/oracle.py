@@ -37,14 +37,16 @@ WITH words AS (
   SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w, false AS is_item FROM documents
   UNION ALL SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), true FROM benchmark
 ),
+lengths AS (SELECT DISTINCT least(5, len(w)) AS n FROM words WHERE is_item),
 shingles AS (
-  SELECT DISTINCT id, is_item, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT id, is_item, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+  SELECT DISTINCT id, is_item, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT id, is_item, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM words JOIN lengths ON n BETWEEN 1 AND len(w) AND (NOT is_item OR n = least(5, len(w))))
 ),
 sizes AS (SELECT id AS item_id, count(*) AS n_shingles FROM shingles WHERE is_item GROUP BY 1),
 found AS (
   SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found
-  FROM shingles d JOIN shingles i ON d.s = i.s AND NOT d.is_item AND i.is_item GROUP BY 1, 2
+  FROM shingles d JOIN shingles i ON d.s = i.s AND d.n = i.n AND NOT d.is_item AND i.is_item GROUP BY 1, 2
 )
 SELECT doc_id, item_id, n_shingles, n_found, n_found / CAST(n_shingles AS DOUBLE) AS containment
 FROM found JOIN sizes USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9

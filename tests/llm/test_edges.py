@@ -1,7 +1,9 @@
 """Each operator on nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import duckdb
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from dnstide.llm.decontaminate import contamination, decontaminate
@@ -9,6 +11,7 @@ from dnstide.llm.embedding_dedup import embedding_dedup
 from dnstide.llm.langid import identify, keep_known_languages, train
 from dnstide.llm.line_dedup import line_dedup, line_dedup_texts
 from dnstide.llm.near_dedup import near_dedup
+from dnstide.llm.oracle import CONTAMINATION
 from dnstide.llm.packing import pack
 from dnstide.llm.pii import replace_pii
 from dnstide.llm.secrets import scan
@@ -135,6 +138,33 @@ def test_decontaminate_judges_each_row(spark, block_bytes):
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "a clean text without an id"), (3, "a clean text under the same id")]
 
 
+@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
+def test_items_shorter_than_a_shingle(spark, tmp_path, block_bytes):
+    items = [(1, "Paris"), (2, "the answer: B"), (3, "one two three four"), (4, "one two three four five six"), (5, ""), (6, None), (7, "..."), (8, "你好")]
+    texts = ["I saw PARIS.", "parisian", "so the  answer\n(b) it is", "the answer is b", "zero one two three four five", "one two three four five six", "two three four", "他说：你好。", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    words = lambda t: regex.findall(r"[\p{L}\p{N}_]+", (t or "").lower())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = set()
+    for d, text in rows:
+        for key, item in items:
+            own = words(item)
+            need = grams(own, min(5, len(own))) if own else set()
+            found = len(need & grams(words(text), min(5, len(own))))
+            if need and found >= 0.8 * len(need):
+                want.add((d, key, len(need), found))
+    assert {(0, 1), (2, 2), (4, 3), (5, 3), (5, 4), (7, 8)} == {x[:2] for x in want}
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(docs, benchmark, block_bytes=block_bytes).collect()
+    assert len(got) == len(want) and {tuple(r)[:4] for r in got} == want
+    kept = decontaminate(docs, benchmark, block_bytes=block_bytes)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {x[0] for x in want}
+    db = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        db.register(name, df.toPandas())
+    assert {x[:4] for x in db.sql(CONTAMINATION).project("doc_id, item_id, n_shingles, n_found").fetchall()} == want
+
+
 def test_near_dedup_keeps_one(docs):
     got = sorted(r.doc_id for r in near_dedup(docs).where("doc_id is not null").select("doc_id").collect())
     assert got == [1, 2, 4, 4, 6]
