@@ -1,8 +1,11 @@
-"""Near dedup by the Jaccard similarity of word shingles: MinHash bands find pairs, the shingles themselves decide.
-
-Two texts link when their sets of shingles have a similarity of at least the threshold. Equal sets are one node. A pair
-at 0.8 meets in none of ``BANDS`` bands of ``ROWS`` minima with a chance of (1 - 0.8 ** 4) ** 24, 3e-6; every pair that
-meets is verified, but for pairs of large buckets that verified links connect anyway.
+"""Near dedup by the Jaccard similarity of word shingles: SimHash and MinHash bands find pairs, the shingles decide.
+
+Two texts link when their sets of shingles have a similarity of at least the threshold. Equal sets are one node. First
+the SimHash fingerprints of the sets are searched through operator 10's covering tables, so sets within ``RADIUS`` bits
+meet, and the pairs that are similar are joined up. At a similarity of 0.8 fingerprints differ in about 10 of 64 bits,
+where no few tables cover; so that no link is lost, MinHash bands then find pairs among what is still apart. A pair at
+0.8 meets in none of ``BANDS`` bands of ``ROWS`` minima with a chance of (1 - 0.8 ** 4) ** 24, 3e-6; every pair that
+meets is verified, but for pairs that verified links connect anyway.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnstide.llm.shared import connected_components, settle, spread, unpacked, whole_row
-from dnstide.llm.simhash import shingle_hashes
+from dnstide.llm.simhash import fold_hashes, links as near_fingerprints, shingle_hashes
 
+#: Bits by which fingerprints of a pair may differ.
+RADIUS = 4
 BANDS, ROWS = 24, 4
 #: Sets of one bucket that are compared as pairs, where links left them apart; larger buckets are compared as blocks.
 HOT = 32
@@ -57,21 +62,22 @@ def _text_hash() -> Column:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, text_hash, set, n, keys)`` for each row: a hash of its set of shingles, its size and band keys."""
+    """``(doc_id, text_hash, set, n, fp, keys)`` for each row: a hash of its set of shingles, its size, SimHash and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
         for b in batches:
-            sets, sizes, keys = [], [], []
+            sets, sizes, fps, keys = [], [], [], []
             for x in b.column(2):
                 own = np.unique(shingle_hashes(x.as_py(), words))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(len(own))
+                fps.append(fold_hashes(own))
                 keys.append(sketch(own) if len(own) else [])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "set", "n", "keys"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "set", "n", "fp", "keys"])
 
     rows = docs.select("doc_id", _text_hash().alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, set bigint, n bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, set bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,18 +223,40 @@ def _meeting(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return left.withColumnRenamed("set", "a").join(right, ["t", "key"]).where(apart & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def simhash_pairs(sets: DataFrame, threshold: float, radius: int = RADIUS) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets(set, n, fp)`` by SimHash, whose sizes allow the similarity: the least set of each
+    fingerprint with the others of that, and with the least set of each fingerprint that links to it."""
+    filled = sets.where("n > 0").select("set", "n", "fp")
+    firsts = settle(filled.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("first")))
+    one, two = (firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first")) for end in "ab")
+    across = near_fingerprints(firsts.select("fp"), radius).join(spread(one), "a").join(spread(two), "b").select(F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    same = filled.join(spread(firsts), "fp").select(F.struct("set", "n").alias("x"), F.col("first").alias("y")).where("x.set != y.set")
+    fits = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
+    return same.union(across).where(fits).select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b"))
+
+
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` that ``components(node, component)`` don't connect."""
+    pairs = pairs.distinct()
+    for end in "ab":
+        pairs = pairs.join(spread(components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))), end, "left")
+    return pairs.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+
+
 def near_components(docs: DataFrame, sets: DataFrame, words: int, threshold: float, hot: int = HOT) -> DataFrame:
     """``(node, component)`` for the sets that link to others.
 
-    Each set of a bucket is first compared with one of them, its pivot (a few different ones over the bands), which takes
-    a pair a member; then, in the buckets that these links and those of other buckets left apart, members of different
+    Pairs of near fingerprints come first. Then each set of a bucket is compared with one of them, its pivot (a few different ones over the bands), which takes
+    a pair a member, where links don't connect them yet; then, in the buckets that all links left apart, members of different
     components are compared: pair by pair in buckets of up to ``hot`` sets; in larger ones block by block, and only those
     that share enough shingles with others.
     """
+    by_simhash = verified(simhash_pairs(sets, threshold), docs, sets, words, threshold)
     filed = sets.select("set", "n", F.posexplode("keys").alias("t", "key"))
     sizes = filed.groupBy("t", "key").agg(F.count("*").alias("size"), F.min_by("set", F.xxhash64("set", F.col("t") % PIVOTS)).alias("pivot")).where("size > 1")
     members = settle(filed.join(spread(sizes), ["t", "key"]).where("set != pivot"))
-    links = verified(members.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")), docs, sets, words, threshold)
+    pairs = members.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b"))
+    links = by_simhash.union(verified(_apart(pairs, joined_up(by_simhash)), docs, sets, words, threshold))
     components = joined_up(links)
     members = members.where("size > 2").select("t", "key", "set", "n", "size")
     members = settle(members.join(spread(components.withColumnRenamed("node", "set")), "set", "left").withColumn("component", F.coalesce("component", "set")))
@@ -254,7 +282,7 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold: float = 0.8, hot: int
     Texts are compared whole, however long; columns may have any names; an empty table gives an empty one.
     """
     rows = settle(sketches(docs, words))
-    sets = settle(rows.groupBy("set").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("text_hash").alias("hash"))).alias("least")))
+    sets = settle(rows.groupBy("set").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("text_hash").alias("hash"))).alias("least")))
     components = near_components(docs, sets, words, threshold, hot)
     least = sets.select("set", "least").join(components.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("component", "set").alias("component")).agg(F.min("least").alias("least"))
     stay = least.select(F.col("least.doc_id").alias("stay_id"), F.col("least.hash").alias("stay_hash"))

@@ -36,7 +36,11 @@ def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> np.ndarray
 
 def fingerprint(text: bytes | None, words: int, seed: int = 42) -> int:
     """SimHash of the shingles of UTF-8 text; none: 0. Signed."""
-    hashes = shingle_hashes(text, words, seed)
+    return fold_hashes(shingle_hashes(text, words, seed))
+
+
+def fold_hashes(hashes: np.ndarray) -> int:
+    """SimHash of hashes: a bit is 1 if it is in over half of them. Signed."""
     n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for texts of any length
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)

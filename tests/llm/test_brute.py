@@ -290,6 +290,27 @@ def test_near_dedup_is_jaccard(spark, sf_dir, hot):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
 
 
+def test_near_dedup_links_by_simhash(spark):
+    """Without band keys, the components are those of the similar pairs within 4 bits of SimHash."""
+    rng, rows = random.Random(31), {}
+    for group in range(5):
+        base = [f"w{rng.randrange(4000)}" for _ in range(600)]
+        for i in range(6):
+            own = list(base)
+            own[rng.randrange(600)] = f"x{rng.randrange(10**6)}"
+            rows[group * 10 + i] = " ".join(own)
+    sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in rows.items()}
+    fps = {d: simhash.fold_hashes(np.array(sorted(x), np.uint64)) & (1 << 64) - 1 for d, x in sets.items()}
+    linked = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = components(rows, linked)
+    assert len(set(want.values())) < 15
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    made = near_dedup.sketches(docs, 5).selectExpr("doc_id", "set", "text_hash", "n", "fp", "cast(array() as array<bigint>) keys").cache()
+    got = {r.node: r.component for r in near_dedup.near_components(docs, made, 5, 0.8).collect()}
+    of = {r.doc_id: got.get(r.set, r.set) for r in made.collect()}
+    assert all((of[a] == of[b]) == (want[a] == want[b]) for a in rows for b in rows)
+
+
 @pytest.mark.parametrize("block", [200, 1000, 1 << 20])
 def test_blocks_link_what_all_pairs_do(spark, block):
     """Two buckets of alike sets, in chunks of some sets or one: the components of all pairs, from no more links than needed."""
