@@ -11,10 +11,11 @@ last window of a partition is cut at powers of two, where no padding is due.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,53 +30,59 @@ from dnstide.llm.shared import KnownIds, worker_memory
 BLOCK_TOKENS = 4_000_000
 #: Distinct words whose ids a worker remembers, and how many of the first it keeps when there are more: frequent words
 #: come early; bytes of words at most. New words that are encoded together; bytes of text encoded in one go.
-CACHE_WORDS, KEEP_WORDS, CACHE_BYTES, GROUP, GO_BYTES = 600_000, 300_000, 64 << 20, 64, 1 << 20
-#: After a letter or digit these are a token run of their own, whatever the word.
-MARKS = b".,;:!?#$%&*|"
+CACHE_WORDS, KEEP_WORDS, CACHE_BYTES, GROUP, GO_BYTES = 400_000, 200_000, 64 << 20, 64, 1 << 20
+#: Stands after each word of a group. It is no letter, digit, mark or blank, and nothing composes with it.
+STOP = "\x01"
+
+
+#: A mark right after an ASCII letter or digit; there a run of tokens ends, so a blank between them changes no id.
+_MARK = re.compile(rb"[.,;:!?#$%&*|](?<=[a-z0-9].)")
+
+
+def folded(text: bytes) -> bytes:
+    """The text with A-Z lower-cased and marks parted from words, so that fewer words differ, where that leaves its ids
+    as they are. It doesn't where special tokens are sought as written, nor before a mark of U+0300 to U+033F: h and
+    U+0331 have a letter of their own, H and U+0331 have none."""
+    return text if b"<|" in text or b"\xcc" in text else _MARK.sub(rb" \g<0>", text.lower())
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that treats words between blanks apart, lower-cases them and parts letters from marks; by a
-    bounded memory of words."""
+    """Ids of a tokenizer that treats words between blanks apart and lower-cases them; by a bounded memory of words."""
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stop = self._encode([STOP])[0]  # one id, else words are encoded one by one
         self.known = KnownIds(words, KEEP_WORDS, CACHE_BYTES)
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[bytes]) -> None:
-        """Words are made of a lower-case base and the marks after it; both are encoded once."""
-        known, wanted, made = self.known.places, {}, []
-        for w in words:
-            low = w.lower() if b"<|" not in w else w
-            base = low.rstrip(MARKS)
-            text = base.decode("utf-8", "replace")
-            if not base or not text.lower()[-1].isalnum():  # lower case may end in a mark: that of İ does
-                base, text = low, low.decode("utf-8", "replace")
-            marks = low[len(base) :]
-            if base not in known:
-                wanted[base] = text
-            if marks and marks not in known:
-                wanted[marks] = marks.decode()
-            if base != w:
-                made.append((w, base, marks))
-        letters = [w for w, text in wanted.items() if text.lower().isalpha()]
-        groups = [letters[i : i + GROUP] for i in range(0, len(letters), GROUP)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(map(wanted.__getitem__, g)) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group):  # else the vocabulary marks no ends: one by one, below
-                self.known.add(group, ids, np.diff(ends, prepend=0))
-        others = [w for w in wanted if w not in known]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([wanted[w] for w in others], add_special_tokens=False)]
-        self.known.add(others, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
-        made = [m for m in made if m[0] not in known]
-        ids, sizes = self.known.join([part for _, base, marks in made for part in (base, marks or base)])
-        both = np.array([bool(marks) for _, _, marks in made], bool)
-        keep = np.stack([np.ones(len(made), bool), both], 1).ravel()  # a word without marks gives its base alone
-        self.known.add([m[0] for m in made], ids[np.repeat(keep, sizes)], np.where(keep, sizes, 0).reshape(-1, 2).sum(1))
+        """Words of letters are encoded some at a time, each ending in an id of its own kind; others with a stop after
+        each, and where that doesn't part them, one by one."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        whole, others = [], []
+        for w in zip(words, texts):
+            (whole if w[1].lower().isalpha() else others).append(w)
+        others += self._learn_groups(whole, " ", lambda ids: self.last[ids], 0)
+        others = self._learn_groups(others, f" {STOP} ", lambda ids: ids == self.stop, 1) if len(self.stop) == 1 else others
+        found = self._encode([text for _, text in others])
+        self.known.add([w for w, _ in others], np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _learn_groups(self, words: list[tuple[bytes, str]], between: str, ends: Callable, drop: int) -> list[tuple[bytes, str]]:
+        """Encode words with ``between`` after each; ``ends`` flags the last id of each, ``drop`` of which aren't its
+        own. Returns the words of groups that have another number of ends."""
+        groups, left = [words[i : i + GROUP] for i in range(0, len(words), GROUP)], []
+        for group, ids in zip(groups, self._encode(["".join([text + between for _, text in g]) for g in groups])):
+            at = np.flatnonzero(ends(ids))
+            if len(at) == len(group):
+                self.known.add([w for w, _ in group], np.delete(ids, at) if drop else ids, np.diff(at, prepend=-1) - drop)
+            else:
+                left += group
+        return left
 
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text, some texts at a time."""
@@ -83,7 +90,7 @@ class WordTokenizer:
         while at < len(texts):
             parts, sizes, held = [], [], 0
             while at < len(texts) and held < GO_BYTES:
-                own = texts[at].split()  # at [\x20\x09-\x0D], which no token spans
+                own = folded(texts[at]).split()  # at [\x20\x09-\x0D], which no token spans
                 parts += own
                 sizes.append(len(own))
                 held += len(texts[at])

@@ -81,6 +81,23 @@ def test_ids_of_odd_letters(tokenizer):
     assert wrong == []
 
 
+def test_ids_of_marks_stops_and_capitals(tokenizer):
+    """Ids are the tokenizer's where marks are parted from words, words hold the stop, and capitals compose otherwise."""
+    rng = random.Random(9)
+    some = ["H\u0331", "h\u0331", "T\u0308", "J\u030c", "\x01", "\x02\x01", "<|endoftext|>", "<|", "Ab", "c", "7", "é", "’", " ", "\u00a0", *".,;:!?#$%&*|'_-"]
+    texts = ["".join(rng.choices(some, k=rng.randrange(1, 14))) for _ in range(12_000)]
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    wrong = [t for t, ids in zip(texts, own([t.encode() for t in texts]), strict=True) if ids.tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
+def test_words_that_differ_in_case_or_marks_are_encoded_once():
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["tide", "Tide", "TIDE"]
+    list(own([" ".join(w + m for w in words for m in ["", *".,;:!?#$%&*|", ",&&&"]).encode()]))
+    assert len(own.known.places) == 1 + 12 + 1
+
+
 @pytest.mark.parametrize("size", [3000, 2049, 1000])
 def test_packing_equal_lengths(size):
     """Lengths that fill no window: held tokens stay bounded, and all windows but the last are full."""
