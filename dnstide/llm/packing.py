@@ -31,6 +31,8 @@ BLOCK_TOKENS = 4_000_000
 #: Distinct words whose ids a worker remembers, and how many of the first it keeps when there are more: frequent words
 #: come early; bytes of words at most. New words that are encoded together; bytes of text encoded in one go.
 CACHE_WORDS, KEEP_WORDS, CACHE_BYTES, GROUP, GO_BYTES = 400_000, 200_000, 64 << 20, 64, 1 << 20
+#: Rows of a batch whose texts are copied at a time.
+SLICE = 1000
 #: Stands after each word of a group. It is no letter, digit, mark or blank, and nothing composes with it.
 STOP = "\x01"
 
@@ -106,6 +108,11 @@ class WordTokenizer:
             yield from np.split(ids, ends[:-1])
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, ``SLICE`` at a time."""
+    return (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))
+
+
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for all tasks of a worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
@@ -240,14 +247,15 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         rows, kind = [], None
         for b in batches:
             kind = b.schema.field(0).type
-            texts = [x.as_py() or b"" for x in b.column(1)]
-            for doc, ids in zip(b.column(0).to_pylist(), encode(texts)):
-                rows.extend(packer.add(doc, np.append(ids, np.uint32(end_id))))
-                if packer.held > block_tokens:
-                    rows.extend(packer.pack(last=False, most=block_tokens // 2))
-                if len(rows) > 20_000:
-                    yield batch(rows)
-                    rows = []
+            for part in slices(b):
+                texts = [x.as_py() or b"" for x in part.column(1)]
+                for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
+                    rows.extend(packer.add(doc, np.append(ids, np.uint32(end_id))))
+                    if packer.held > block_tokens:
+                        rows.extend(packer.pack(last=False, most=block_tokens // 2))
+                    if len(rows) > 20_000:
+                        yield batch(rows)
+                        rows = []
         rows.extend(packer.pack(last=True))
         if rows:
             yield batch(rows)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -98,6 +99,14 @@ def test_words_that_differ_in_case_or_marks_are_encoded_once():
     assert len(own.known.places) == 1 + 12 + 1
 
 
+def test_texts_of_a_batch_are_copied_some_at_a_time():
+    batch = pa.record_batch({"doc_id": list(range(2500))})
+    got = list(packing.slices(batch))
+    assert max(x.num_rows for x in got) <= packing.SLICE < 2500
+    assert [i for x in got for i in x.column(0).to_pylist()] == list(range(2500))
+    assert list(packing.slices(batch.slice(0, 0))) == []
+
+
 @pytest.mark.parametrize("size", [3000, 2049, 1000])
 def test_packing_equal_lengths(size):
     """Lengths that fill no window: held tokens stay bounded, and all windows but the last are full."""
