@@ -157,6 +157,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sends neither side whole to the driver: Spark takes an exploded table for no larger than
+    what it was exploded from, and would broadcast rows of many times its limit."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with edges ``(a, b)``, as ``(node, component)`` for each node of an edge;
     ``component`` is the smallest node reached.

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import connected_components, settle, spread
+from dnstide.llm.shared import connected_components, settle, shuffled, spread
 
 
 def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
@@ -92,7 +92,7 @@ def links(fps: DataFrame, radius: int = 4, hot: int = 1000) -> DataFrame:
     differ = F.col("a").bitwiseXOR(F.col("b"))
     first = F.array_position(F.transform(array, lambda m: differ.bitwiseAND(m) == 0), True) - 1
     left, right = cold.withColumnRenamed("fp", "a"), cold.withColumnRenamed("fp", "b")
-    near = left.join(right, ["t", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius)).where(first == F.col("t")).select("a", "b")
+    near = shuffled(left).join(right, ["t", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius)).where(first == F.col("t")).select("a", "b")
     if radius % 2 or hot_keys is None:
         return near
     return near.union(_midpoint_links(marked.where("is_hot").select("t", "fp"), masks, radius // 2))
@@ -110,7 +110,7 @@ def _midpoint_links(rows: DataFrame, masks: list[int], reach: int) -> DataFrame:
         ring = ring.select("t", "fp", F.col("point").bitwiseXOR(F.col("bit")).alias("point"), "bits", (F.col("from") + F.col("at") + 1).alias("from"))
         points = points.union(ring.select("t", "fp", "point"))
     lows = spread(points.groupBy("t", "point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
-    return points.join(lows, ["t", "point"]).where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    return shuffled(points).join(lows, ["t", "point"]).where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, hot: int = 1000) -> DataFrame:
