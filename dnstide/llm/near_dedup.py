@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnstide.llm.shared import connected_components, settle, spread, unpacked, whole_row
+from dnstide.llm.shared import connected_components, settle, shuffled, spread, unpacked, whole_row
 from dnstide.llm.simhash import fold_hashes, links as near_fingerprints, shingle_hashes
 
 #: Bits by which fingerprints of a pair may differ.
@@ -212,7 +212,7 @@ def block_links(members: DataFrame, own: DataFrame, threshold: float, block: int
     dealt = members.join(spread(weights), ["t", "key"]).withColumn("chunk", F.expr("pmod(xxhash64(set, key), chunks)"))
     dealt = dealt.select("t", "key", "set", "component", "chunk", F.expr("explode(sequence(0, chunks - 1))").alias("other"))
     dealt = dealt.select("t", "key", "set", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return settle(dealt.join(own, "set").groupBy("t", "key", "i", "j").applyInArrow(run, "a bigint, b bigint"))
+    return settle(shuffled(dealt).join(own, "set").groupBy("t", "key", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
 
 def _meeting(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -254,7 +254,7 @@ def near_components(docs: DataFrame, sets: DataFrame, words: int, threshold: flo
     by_simhash = verified(simhash_pairs(sets, threshold), docs, sets, words, threshold)
     filed = sets.select("set", "n", F.posexplode("keys").alias("t", "key"))
     sizes = filed.groupBy("t", "key").agg(F.count("*").alias("size"), F.min_by("set", F.xxhash64("set", F.col("t") % PIVOTS)).alias("pivot")).where("size > 1")
-    members = settle(filed.join(spread(sizes), ["t", "key"]).where("set != pivot"))
+    members = settle(shuffled(filed).join(spread(sizes), ["t", "key"]).where("set != pivot"))
     pairs = members.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b"))
     links = by_simhash.union(verified(_apart(pairs, joined_up(by_simhash)), docs, sets, words, threshold))
     components = joined_up(links)

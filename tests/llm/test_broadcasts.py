@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from dnstide.llm.near_dedup import near_dedup
 from dnstide.llm.shared import settle
 from dnstide.llm.simhash import _midpoint_links, cover_masks, links
 
@@ -53,3 +54,14 @@ def test_midpoints(spark, most_rows):
     rows = numbers(spark, [base ^ (1 << i) for i in range(62)]).select(F.lit(0).alias("t"), "fp")
     assert _midpoint_links(rows, cover_masks(4), 2).count() > 30
     assert most_rows() <= LIMIT // 16
+
+
+def test_bands_of_sets(spark, most_rows):
+    """150 sets are 24 rows each in the bands' buckets."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    texts = [[word() for _ in range(60)] for _ in range(75)]
+    docs = [(2 * i + j, " ".join([*words, *["end"] * j])) for i, words in enumerate(texts) for j in range(2)]
+    docs = settle(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1))
+    assert near_dedup(docs).count() == 75
+    assert most_rows() <= LIMIT // 16
