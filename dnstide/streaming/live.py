@@ -31,18 +31,33 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def added_up(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """``rows`` with the columns ``sums`` (name to type) added up over equal other columns, by each task for itself."""
+#: Rows that a task gathers before it adds them up, and different groups from which on it hands on what it has.
+GATHER, HELD = 1 << 16, 1 << 20
+
+
+def added_up(rows: DataFrame, sums: dict[str, str], gather: int = GATHER, most: int = HELD) -> DataFrame:
+    """``rows`` with the columns ``sums`` (name to type) added up over equal other columns, by each task for itself. A
+    task holds about ``most`` groups: where it meets more, a group may come out several times, in parts."""
     by = [c for c in rows.columns if c not in sums]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.Table] = []
+        groups = waiting = 0
+
+        def together() -> pa.Table:
+            return pa.concat_tables(held).group_by(by).aggregate([(c, "sum") for c in sums]).rename_columns([*by, *sums])
+
         for b in batches:
-            part = pa.Table.from_batches([b])
-            both = part if held is None else pa.concat_tables([held, part])
-            held = both.group_by(by).aggregate([(c, "sum") for c in sums]).rename_columns([*by, *sums])
-        if held is not None:
-            yield from held.to_batches()
+            held.append(pa.Table.from_arrays(b.columns, names=b.schema.names))  # a field's "not null" would differ from that of a sum
+            waiting += b.num_rows
+            if waiting >= max(gather, groups):  # as many new rows as groups, so that groups aren't added up over and over
+                held, waiting = [together()], 0
+                groups = held[0].num_rows
+                if groups >= most:
+                    yield from held.pop().to_batches()
+                    groups = 0
+        if held:
+            yield from together().to_batches()
 
     kinds = dict(rows.dtypes) | sums
     return rows.select(*by, *(F.col(c).cast(t).alias(c) for c, t in sums.items())).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, *sums)))
