@@ -90,9 +90,15 @@ def start_snapshots(counts: DataFrame, path: str, table: str, checkpoint: str, t
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, name = batch.sparkSession, f"{number:012d}-0"
-        batch.withColumn("batch", F.lit(name)).hint("rebalance", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+        # the session of a stream with state plans without adaptive execution, so that each of its tasks would write
+        # a file for each hour: rows are laid down as they come, and dealt by hour in the session that began the stream
+        spark, name = counts.sparkSession, f"{number:012d}-0"
         root = Folder(spark, path)
+        raw = root.of("_raw").of(f"batch-{number:012d}")
+        batch.write.mode("overwrite").parquet(raw.path)
+        rows = spark.read.schema(batch.schema).parquet(raw.path).withColumn("batch", F.lit(name))
+        rows.hint("rebalance", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+        raw.delete()
         changed = [x for x in root.names() if x.startswith("hour=") and root.of(x).of(f"batch={name}").exists()]
         for hour in changed:
             older = [x for x in root.of(hour).names() if x.startswith("batch=") and x < f"batch={name}"]
