@@ -173,9 +173,10 @@ class TopLists(StatefulProcessor):
         new: dict[str, int] = {}
         for r in rows:
             new[r.name] = new.get(r.name, 0) + r.n
-        held = sorted((-c, x) for c, x in zip(*self.top.get())) if self.top.exists() else []
+        known = self.top.exists()  # a new group has no counts to ask for
+        held = sorted((-c, x) for c, x in zip(*self.top.get())) if known else []
         for name, n in new.items():
-            before = self.counts.getValue((name,))[0] if self.counts.containsKey((name,)) else 0
+            before = self.counts.getValue((name,))[0] if known and self.counts.containsKey((name,)) else 0
             self.counts.updateValue((name,), (before + n,))
             i = bisect_left(held, (-before, name))
             if i < len(held) and held[i] == (-before, name):

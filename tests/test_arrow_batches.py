@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnstide.functions.stamps import stamp
-from dnstide.operators import rates
+from dnstide.operators import rates, topn
+from dnstide.operators.counters import name_counts
+from dnstide.operators.rates import HOUR, end_of
 from dnstide.sources import fixture, logs
 from dnstide.streaming import jobs, live
 
@@ -43,3 +45,12 @@ def test_half_hours(spark, log, tmp_path):
     passed = records.agg(stamp(F.max("ts") - F.expr("INTERVAL 10 MINUTES"))).first()[0]
     want = rates.half_hour_mean(rates.five_minute_samples(records)).where(F.col("stamp") <= passed)
     assert rows(ran(spark, tmp_path, live.stream_half_hours(stream), "append"), *columns) == rows(want, *columns) != []
+
+
+def test_top_lists(spark, log, tmp_path):
+    records, stream = log
+    got = ran(spark, tmp_path, live.stream_topn(stream, 3), "update")
+    timed = records.withColumn("hour", stamp(end_of(F.col("ts"), HOUR)))
+    want = [topn.topn(name_counts(timed, field, "hour"), 3, "hour").withColumn("kind", F.lit(kind)) for kind, field in (("domain", "domain"), ("ip", "client_ip"))]
+    columns = ("kind", "hour", "key", "name", "count", "rank")
+    assert rows(got, *columns) == rows(want[0].unionByName(want[1]), *columns) != []
